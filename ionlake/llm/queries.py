@@ -10,6 +10,7 @@ from .line_dedup import drop_boilerplate_lines
 from .lm_score import score_texts
 from .mixing import mix_to_targets
 from .near_dedup import near_duplicates
+from .oracles import ORACLES
 from .quality_classifier import score_quality
 from .quality_rules import quality_verdicts
 from .secret_scan import BASE_RULES, scan_versions, span_text
@@ -94,4 +95,6 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+
+
+__all__ = ["ORACLES", "QUERIES"]
