@@ -254,7 +254,7 @@ def _finish(tokens: int, types: int, end_count: int, names: list[str]):
     return run
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 1, work: Workspace | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 2, work: Workspace | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     held_out: condition (a Column over docs) of the rows that are not learned

@@ -50,6 +50,8 @@ def mixing(sweeps: int = 10, temper: float = 0.5, share: float = 0.5) -> str:
         for m in MARGINS:
             steps.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * target / sum(w) OVER (PARTITION BY {m}) AS w FROM w{k} JOIN t_{m} USING ({m}))")
             k += 1
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, least(w, tokens / ({share} * (SELECT sum(tokens) FROM c))) AS w FROM w{k})")
+        k += 1
     steps.append(f"r AS (SELECT source, lang, topic, round(w, 8) AS weight, round(least(1.0, {share} * (SELECT sum(tokens) FROM c) * w / tokens), 9) AS p FROM w{k})")
     u = "CAST(('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
     p = "CASE WHEN n_tokens > 0 THEN coalesce(p, 0.0) ELSE 0.0 END"
