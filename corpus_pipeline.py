@@ -44,9 +44,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the raked weights, with topic, n_tokens, weight and prob."""
+    """Documents sampled to the raked weights, with topic, n_tokens, weight and prob, which replace columns of those names."""
+    added = ("topic", "n_tokens", "weight", "prob")
     out = mix_to_targets(docs)
-    return out.filter("mix.kept").select(*docs.columns, "mix.topic", "mix.n_tokens", "mix.weight", "mix.prob")
+    return out.filter("mix.kept").select(*(c for c in docs.columns if c not in (*added, "mix")), *(f"mix.{c}" for c in added))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
