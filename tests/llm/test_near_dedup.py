@@ -111,7 +111,7 @@ def test_outer_members_of_a_star_are_found(spark):
     rows = [(1000, " ".join(base))]
     for k in range(150):
         copy = list(base)
-        for at in rng.choice(60, 7, replace=False):
+        for at in rng.choice(60, 4, replace=False):
             copy[at * 5] = f"u{k}_{at}"
         rows.append((k if k % 2 else 2000 + k, " ".join(copy)))
     expected = brute(rows, 85, 100)
@@ -119,18 +119,24 @@ def test_outer_members_of_a_star_are_found(spark):
     assert result(spark, rows) == expected
 
 
-def test_blocks_link_components(spark):
-    """The last step alone, on one bucket in two blocks."""
+@pytest.mark.parametrize("blocks", [(0, 0), (0, 1)])
+def test_blocks_link_components_once(blocks):
+    """The last step alone: a pair is compared in the first bucket it shares, and only there."""
     base = [f"c{k}" for k in range(200)]
-    texts = [" ".join([*base[:-1], f"e{k}"]) for k in range(4)] + [" ".join(f"z{k}" for k in range(50))]
-    sets = [s for _, s in K.shingle_sets(pa.array(texts))]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(f"z{k}" for k in range(50))]
     signer = N.Signer(36, 8)
-    keys = [signer.keys(s) for s in sets]
-    same = next(i for i in range(36) if all(keys[0][i] == k[i] for k in keys[:4]) and all((keys[x][:i] != keys[y][:i]).all() for x in range(4) for y in range(x)) or i == 0 and all(keys[0][0] == k[0] for k in keys[:4])) if any(all(keys[0][i] == k[i] for k in keys[:4]) for i in range(36)) else 0
-    table = pa.table({"key": [int(keys[0][same])] * 4, "i": [0] * 4, "j": [1] * 4, "rep": [0, 1, 2, 3], "comp": [0, 1, 2, 3], "block": [0, 0, 1, 1], "bands": [k.tolist() for k in keys[:4]], "text": texts[:4]})
+    keys = [signer.keys(s) for _, s in K.shingle_sets(pa.array(texts))]
+    shared = np.flatnonzero(keys[0] == keys[1])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    links = N._within_block(5, 85, 100, schema)(table)
-    assert links.schema == schema and all(a in (0, 1) and b in (2, 3) for a, b in zip(*(links[c].to_pylist() for c in "ab"), strict=True))
+
+    def links(band, comps):
+        n = len(comps)
+        rows = {"key": [int(keys[0][band])] * n, "i": [0] * n, "j": [blocks[1]] * n, "rep": [10, 11], "comp": comps, "block": list(blocks), "bands": [k.tolist() for k in keys[:n]], "text": texts[:n]}
+        return N._within_block(5, 85, 100, schema)(pa.table(rows)).to_pylist()
+
+    assert len(shared) > 5
+    assert links(shared[0], [10, 11]) == [{"a": 10, "b": 11}]
+    assert links(shared[1], [10, 11]) == [] and links(shared[0], [10, 10]) == []
 
 
 def test_odd_inputs(spark):
