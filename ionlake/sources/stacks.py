@@ -6,6 +6,7 @@ import json
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
@@ -114,12 +115,10 @@ HEADER = "data_offset long, stage_x int, stage_y int, stage_z int, duration_s lo
 
 def read_headers(spark: SparkSession, folder: str, pattern: str = "*.im") -> DataFrame:
     """One row a file: its basic header, extended groups and capture time as a timestamp where it parses."""
-    import pandas as pd
-
     held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     held = held.select("path", "length", F.substring("content", 1, H.HEADER_BYTES).alias("head"))
 
-    @F.pandas_udf(f"header struct<{HEADER.replace(' ', ':', 1) and _struct(HEADER)}>, full struct<{_struct(FULL)}>")
+    @F.pandas_udf(f"header struct<{_struct(HEADER)}>, full struct<{_struct(FULL)}>")
     def parse(head: pd.Series, length: pd.Series) -> pd.DataFrame:
         rows = []
         for data, size in zip(head, length, strict=True):
