@@ -418,3 +418,39 @@ def decimate(voxels: DataFrame, step: int) -> DataFrame:
 def voxel_coordinates(voxels: DataFrame, field_um: float, width: int, height: int) -> DataFrame:
     """voxels with x_um and y_um: index / (side - 1) * field."""
     return voxels.withColumn("x_um", F.col("x") / F.lit(max(width - 1, 1)) * field_um).withColumn("y_um", F.col("y") / F.lit(max(height - 1, 1)) * field_um)
+
+
+# --- panels: the numbers behind figures
+
+
+def panel(voxels: DataFrame, kind: str, numerator: str, denominator: str | None = None, reference: float | None = None, min_counts: float | None = None, smooth: int = 0, roi_pixels: DataFrame | None = None) -> DataFrame:
+    """(acq_id, y, x, value[, level][, roi]) of one figure panel.
+
+    kind channel: summed counts; ratio; delta (an explicit reference is needed);
+    hsi: hue as value and intensity as level.  smooth: window of a median filter
+    over the ratio.  With roi_pixels, the ROI that holds the pixel, least name first.
+    """
+    if kind == "channel":
+        out = sum_stack(voxels.filter(F.col("channel") == numerator)).select(*PIXEL, F.col("counts").alias("value"))
+    else:
+        image = ratio(voxels, numerator, denominator, min_counts)
+        if smooth > 1:
+            image = image.drop("ratio").join(ratio_median_filter(image, smooth), list(PIXEL)).withColumn("valid", F.col("ratio").isNotNull())
+        if kind == "ratio":
+            out = image.select(*PIXEL, F.col("ratio").alias("value"))
+        elif kind == "delta":
+            if reference is None:
+                raise ValueError("a delta panel needs a reference")
+            out = delta(image, reference).select(*PIXEL, F.col("delta").alias("value"))
+        elif kind == "hsi":
+            out = hsi(image).select(*PIXEL, F.col("hue").alias("value"), F.col("intensity").alias("level"))
+        else:
+            raise ValueError("kind is channel, ratio, delta or hsi")
+    if roi_pixels is None:
+        return out
+    return out.join(roi_pixels.groupBy(*PIXEL).agg(F.min("roi").alias("roi")), list(PIXEL), "left")
+
+
+def stack_summary(voxels: DataFrame) -> DataFrame:
+    """(acq_id, channel, planes, height, width, total, top): what a stack holds, by channel."""
+    return voxels.groupBy(ACQ, "channel").agg(F.countDistinct("plane").alias("planes"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.sum("counts").cast("double").alias("total"), F.max("counts").cast("double").alias("top"))

@@ -624,3 +624,36 @@ def event_windows(spark, sf):
 @query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, user_id, count(*) AS n FROM g GROUP BY user_id, s")
 def event_sessions(spark, sf):
     return sessions(table(spark, sf, "events"))
+
+
+# --- panels and labels
+
+
+@query("SELECT acq_id, channel, count(DISTINCT plane) AS planes, CAST(max(y)+1 AS INT) AS height, CAST(max(x)+1 AS INT) AS width, CAST(sum(counts) AS DOUBLE) AS total, CAST(max(counts) AS DOUBLE) AS top FROM stack GROUP BY ALL")
+def stack_summary(spark, sf):
+    return I.stack_summary(stack(spark, sf))
+
+
+@query(f"WITH {ROI} SELECT q.acq_id, q.y, q.x, round((ratio/0.9-1)*1000,4) AS value, roi FROM ratios q LEFT JOIN r ON r.y=q.y AND r.x=q.x")
+def overlay_panel(spark, sf):
+    return rounded(I.panel(stack(spark, sf), "delta", "A", "N", reference=0.9, roi_pixels=rois(spark, sf)), 4)
+
+
+@query("SELECT acq_id, roi, y, x FROM (SELECT acq_id, CASE WHEN (x + y) % 3 = 0 THEN 'third' ELSE 'rest' END AS roi, y, x FROM summed WHERE channel='A') QUALIFY count(*) OVER (PARTITION BY roi) >= 100")
+def big_masks(spark, sf):
+    held = summed(spark, sf).filter("channel = 'A'").select("acq_id", F.when((F.col("x") + F.col("y")) % 3 == 0, "third").otherwise("rest").alias("roi"), "y", "x")
+    return held.join(held.groupBy("acq_id", "roi").count().filter("count >= 100"), ["acq_id", "roi"], "left_semi").select("acq_id", "roi", "y", "x")
+
+
+LABELS = ["SE", " se ", "12C", "SE det", "Secondary e", "e-", "Sea", "topo", "32S"]
+
+
+@query("WITH l(label) AS (VALUES " + ", ".join(f"('{x}')" for x in LABELS) + ") SELECT label, lower(trim(label)) IN ('se','secondary electron','e-','e⁻','em','topography','topo') OR starts_with(lower(trim(label)),'se ') OR starts_with(lower(trim(label)),'secondary') AS se FROM l")
+def se_channels(spark, sf):
+    return spark.createDataFrame([(x,) for x in LABELS], "label string").select("label", T.is_se_channel("label").alias("se"))
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS first, c_custkey % 5 AS second FROM customer")
+def index_lists(spark, sf):
+    held = table(spark, sf, "customer").select("c_custkey", T.index_list(F.concat_ws(";", F.col("c_nationkey").cast("string"), F.lit("x"), (F.col("c_custkey") % 5).cast("string"))).alias("n"))
+    return held.select("c_custkey", F.col("n")[0].cast("long").alias("first"), F.col("n")[1].cast("long").alias("second"))
