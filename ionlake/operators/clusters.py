@@ -217,7 +217,7 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
 
 
 def cophenetic_band(r: float) -> str:
-    return "excellent" if r >= 0.9 else "good" if r >= 0.8 else "fair" if r >= 0.7 else "poor"
+    return "strong" if r >= 0.9 else "good" if r >= 0.8 else "moderate" if r >= 0.7 else "weak"
 
 
 def dendrogram_heights(merges: np.ndarray, k: int, last: int = 30) -> dict:

@@ -13,7 +13,7 @@ M = np.arange(27.40, 27.44, 1e-4)
 
 
 def scan(*peaks, noise=True, w=0.006, sigma=0.0006, seed=0):
-    c = sum(P.rect_gauss(M, a, mu, w, sigma) for mu, a in peaks)
+    c = sum(P.slit_peak(M, a, mu, w, sigma) for mu, a in peaks)
     return np.random.default_rng(seed).poisson(c).astype(float) if noise else c
 
 
@@ -22,9 +22,9 @@ def frame(spark, **scans):
 
 
 def test_peak_shape():
-    y = P.rect_gauss(M, 100, 27.42, 0.006, 0.0006)
+    y = P.slit_peak(M, 100, 27.42, 0.006, 0.0006)
     assert y.max() == pytest.approx(100, abs=0.1) and np.trapezoid(y, M) == pytest.approx(0.6, rel=1e-3)
-    assert set(P.rect_gauss(M, 5, 27.42, 0.006, 0)) == {0.0, 5.0}
+    assert set(P.slit_peak(M, 5, 27.42, 0.006, 0)) == {0.0, 5.0}
 
 
 def test_edge_and_resolving_power():
