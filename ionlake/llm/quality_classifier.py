@@ -91,13 +91,18 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 2, alpha:
     return weight(z, n), -bias_z / ((beta + bias_n**0.5) / alpha)
 
 
-def train(labelled: DataFrame, max_rows: int = 6_000) -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled(key, label, text); about max_rows rows at most, whole texts, chosen and ordered by a hash of key."""
-    total = labelled.count()
+def train(labelled: DataFrame, max_rows: int = 6_000, max_bytes: int = 32_000_000) -> tuple[np.ndarray, float]:
+    """Weights and bias from labelled(key, label, text).
+
+    About max_rows rows and max_bytes of text at most, whole texts, chosen and
+    ordered by a hash of key; their features take some seven times the bytes.
+    """
+    total, size = labelled.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    share = min(1.0, max_rows / max(total, 1), max_bytes / max(size or 0, 1))
     order = F.pmod(F.xxhash64("key", F.lit(29)), F.lit(1 << 30))
     held = labelled.select(order.alias("order"), F.col("label").cast("int").alias("label"), "text")
-    if total > max_rows:
-        held = held.filter(F.col("order") < int(max_rows / total * (1 << 30)))
+    if share < 1:
+        held = held.filter(F.col("order") < int(share * (1 << 30)))
     table = held.mapInArrow(_pack, "order long, label int, b binary, v binary").orderBy("order", "label", "b").toArrow()
     rows = [(y, np.frombuffer(b, np.int32), np.frombuffer(v, np.float32).astype(float)) for y, b, v in zip(table.column("label").to_pylist(), table.column("b").to_pylist(), table.column("v").to_pylist(), strict=True)]
     weights, bias = ftrl(rows)
