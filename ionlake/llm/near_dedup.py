@@ -254,7 +254,10 @@ def near_duplicates(
             blocks = F.ceil(F.col("members") / BLOCK).cast("int")
             dealt = open_slots.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             dealt = dealt.select("key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-            full = dealt.join(texts.select(F.col("id").alias("rep"), "text"), "rep").join(reps.select(F.col("id").alias("rep"), "bands"), "rep")
+            # texts and bands meet once a member, so that the dealt rows are joined once
+            members = open_slots.select(F.col("rep").alias("id")).distinct()
+            members = texts.join(reps.join(members, "id", "left_semi").select("id", "bands"), "id").select(F.col("id").alias("rep"), "text", "bands")
+            full = dealt.join(work.keep(members, "members"), "rep")
             arrow = pa.schema([pa.field("a", _arrow_type(kind)), pa.field("b", _arrow_type(kind))])
             last = full.groupBy("key", "i", "j").applyInArrow(_within_block(shingle, num, den, arrow), link_schema)
             links = work.keep(links.union(last), "confirmed")
