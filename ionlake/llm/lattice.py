@@ -129,7 +129,7 @@ class Vocabulary:
         p = np.concatenate(found_piece) if found_piece else np.zeros(0, np.int32)
         return s, e, p, offset[s] if n else s
 
-    def marginals(self, words: np.ndarray, lengths: np.ndarray, log_p: np.ndarray | None = None, counts: np.ndarray | None = None, limit: int = 1 << 18):
+    def marginals(self, words: np.ndarray, lengths: np.ndarray, log_p: np.ndarray | None = None, counts: np.ndarray | None = None, limit: int = 1 << 16):
         """Natural log of each word's probability, summed over all segmentations.
 
         words: the words' bytes end to end without marks.  With counts, also the

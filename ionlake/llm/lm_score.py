@@ -35,6 +35,9 @@ DOCS_PER_BUCKET = 4096
 PRIOR_PIECES = 32_000.0
 LN10 = float(np.log(10.0))
 
+#: Bytes of text that one chunk of either pass holds at most, unless one text is longer.
+CHUNK_BYTES = 1 << 25
+
 COUNT_SCHEMA = "bucket int, words binary, lengths binary, counts binary, texts long"
 
 
@@ -72,6 +75,13 @@ class Types:
         return distinct, total, lengths[first], _gather(words, starts[first], lengths[first])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in chunks of about CHUNK_BYTES of text."""
+    for batch in batches:
+        for lo, hi, _, _ in K.slices(batch.column(column), CHUNK_BYTES):
+            yield batch.slice(lo, hi - lo)
+
+
 def _slice_types(buf, starts, ends, hashes):
     distinct, first, counts = np.unique(hashes, return_index=True, return_counts=True)
     lengths = ends[first] - starts[first]
@@ -87,7 +97,7 @@ def _count(bits: int):
     names = [c.split()[0] for c in COUNT_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunks(batches, 0):
             types = Types()
             for _, _, buf, offsets in K.slices(batch.column(0)):
                 starts, ends, _ = K.spans(buf, offsets)
@@ -165,7 +175,7 @@ def _request(shared, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, log_p, log_end, head, head_n = shared.value
-        for batch in batches:
+        for batch in _chunks(batches, 2):
             n = batch.num_rows
             tokens, known = np.ones(n, np.int64), np.zeros(n, np.int64)
             base, score = np.zeros(n), np.full(n, log_end / LN10)
@@ -180,7 +190,7 @@ def _request(shared, bits: int):
                 types.add(distinct, counts, lengths, words)
                 pair, use = np.unique(rows * np.int64(len(distinct)) + inverse, return_counts=True)
                 doc, word = pair // len(distinct) if len(distinct) else pair, pair % len(distinct) if len(distinct) else pair
-                uses.append((doc + lo, distinct[word], use))
+                uses.append(((doc + lo).astype(np.uint32), distinct[word], use.astype(np.uint32)))
                 tokens[lo:hi] += np.bincount(rows, minlength=hi - lo)
             hashes, _, lengths, words = types.merged()
             log_word = vocabulary.marginals(words, lengths, log_p) / LN10
@@ -195,9 +205,10 @@ def _request(shared, bits: int):
                 base += np.bincount(doc[top], weights=log_count[word[top]] * use[top], minlength=n)
                 known += np.bincount(doc[top], weights=use[top], minlength=n).astype(np.int64)
                 rest.append((doc[~top], own[~top], use[~top]))
-            doc, own, use = (np.concatenate([r[k] for r in rest]) if rest else np.zeros(0, np.int64) for k in range(3))
+            uses.clear()
+            doc, own, use = (np.concatenate([r[k] for r in rest]) if rest else np.zeros(0, t) for k, t in enumerate((np.uint32, np.uint64, np.uint32)))
             order = np.argsort(own, kind="stable")
-            doc, own, use = doc[order].astype(np.uint32), own[order].astype(np.uint64), use[order].astype(np.uint32)
+            doc, own, use = doc[order], own[order], use[order]
             cut = _cuts(own, bits)
             rows = []
             for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
