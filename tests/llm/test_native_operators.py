@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
@@ -138,3 +139,44 @@ def test_mixing_of_odd_inputs(spark):
     same = {(r.prob, r.kept) for r in out if r.doc_id == 3}
     assert len(same) == 1
     assert X.mix_to_targets(df.limit(0)).count() == 0
+
+
+def test_raking_goes_on_until_it_stands_still(spark):
+    """One hot source with a third of the tokens: ten sweeps are far from the fit."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(900):
+        source = "hot" if k % 3 == 0 else f"s{int(rng.integers(8))}"
+        lang = ["en", "de", "es"][int(rng.choice(3, p=[0.1, 0.1, 0.8] if source == "hot" else [0.8, 0.1, 0.1]))]
+        topic = ["t1", "t2", "t3"][int(rng.choice(3, p=[0.9, 0.05, 0.05] if lang == "es" else [0.2, 0.2, 0.6]))]
+        rows.append((k, source, lang, topic, "w " * int(rng.integers(1, 60))))
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, text string")
+    out = X.mix_to_targets(df).select("source", "lang", "topic", "mix.n_tokens", "mix.weight", "mix.prob").toPandas()
+
+    cells = out.groupby(["source", "lang", "topic"]).agg(tokens=("n_tokens", "sum"), w=("weight", "first"), p=("prob", "first")).reset_index()
+    total = cells.tokens.sum()
+    assert 0.2 < cells[cells.source == "hot"].tokens.sum() / total < 0.45
+
+    def sweep(w):
+        for m in X.MARGINS:
+            goal = cells.groupby(m).tokens.sum() ** 0.5
+            w = w * cells[m].map(goal / goal.sum()) / w.groupby(cells[m]).transform("sum")
+        return np.minimum(w, cells.tokens / (0.5 * total))
+
+    w = cells.tokens / total
+    for _ in range(10):
+        w = sweep(w)
+    ten = w
+    for _ in range(5000):
+        w = sweep(w)
+    assert np.abs(sweep(w) - w).max() < 1e-14
+    assert np.abs(cells.w - w).max() < 1e-9 and np.abs(cells.p - 0.5 * total * w / cells.tokens).max() < 1e-8
+    assert np.abs(0.5 * total * (ten - w) / cells.tokens).max() > 0.01
+    for m in X.MARGINS:
+        assert (out.n_tokens * out.prob).groupby(out[m]).sum().to_numpy() / (0.5 * total) == pytest.approx(w.groupby(cells[m]).sum().to_numpy(), abs=1e-8)
+
+
+def test_raking_reports_when_it_does_not_settle():
+    cells = pa.table({"source": ["a", "b"], "lang": ["x", "y"], "topic": ["t", "t"], "tokens": [1, 1], "w": [0.5, 0.5], "t_source": [0.9, 0.1], "t_lang": [0.1, 0.9], "t_topic": [1.0, 1.0]})
+    with pytest.warns(RuntimeWarning, match="after 1 sweeps"):
+        X.rake(cells, np.array([0.45, 0.8]), 0.0, 1)
