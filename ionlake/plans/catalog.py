@@ -608,7 +608,7 @@ MASS = "WITH c AS (SELECT 0 AS acq_id, CAST(p_partkey AS INT) AS ch_idx, 10 + p_
 
 @query(f"{MASS}, d AS (SELECT ch_idx, row_index, mass_amu, row_number() OVER (PARTITION BY ch_idx ORDER BY abs(mass_amu-nom_mass), row_index) AS k FROM c, r WHERE abs(mass_amu-nom_mass) < 0.05) SELECT 0 AS acq_id, ch_idx, row_index, round(mass_amu,6) AS mass_amu FROM d WHERE k=1")
 def mass_match(spark, sf):
-    channels = table(spark, sf, "part").filter("p_size <= 10").select(F.lit(0).alias("acq_id"), F.col("p_partkey").cast("int").alias("ch_idx"), (10 + F.col("p_retailprice") / 20).alias("nom_mass"))
+    channels = table(spark, sf, "part").select(F.lit(0).alias("acq_id"), F.col("p_partkey").cast("int").alias("ch_idx"), (10 + F.col("p_retailprice") / 20).alias("nom_mass"))
     rows = table(spark, sf, "supplier").select(F.lit(0).alias("acq_id"), F.col("s_suppkey").cast("int").alias("row_index"), (10 + (900 + F.col("s_suppkey") * 7 % 1100) / 20).alias("mass_amu"))
     return rounded(S.match_mass_rows(channels, rows))
 

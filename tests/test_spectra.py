@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ionlake.functions import peaks as P, tables as T
 from ionlake.operators import species as S, spectra as O
+from ionlake.plans import catalog
 
 M = np.arange(27.40, 27.44, 1e-4)
 
@@ -154,3 +155,17 @@ def test_lookups(spark):
     assert [r[0] for r in ch.orderBy("ch_idx").select(T.is_se_channel("label")).collect()] == [False, False, True, True]
     row = spark.range(1).select(T.index_list(F.lit("3,7;12 x")).alias("a"), T.lenient_number(F.lit(" 4.5 ")).alias("b"), T.lenient_number(F.lit("n/a")).alias("c"), T.strip_copy_mark(F.lit("12C (1)")).alias("d"), T.axis_name(F.lit("X (µm)")).alias("e")).first()
     assert tuple(row) == ([3, 7, 12], 4.5, None, "12C", "xum")
+
+
+def test_mass_match_takes_every_channel(spark):
+    sf = "/root/testdata/sf0.01"
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_retailprice").toPandas()
+    keys = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").toPandas().s_suppkey.to_numpy()
+    mass = 10 + (900 + keys * 7 % 1100) / 20
+    expected = {}
+    for k, price in zip(part.p_partkey, part.p_retailprice, strict=True):
+        d, row, m = min(zip(np.abs(mass - (10 + price / 20)), keys, mass, strict=True))
+        if d < 0.05:
+            expected[k] = (row, round(m, 6))
+    got = {r.ch_idx: (r.row_index, r.mass_amu) for r in catalog.QUERIES["mass_match"](spark, sf).collect()}
+    assert got == expected
