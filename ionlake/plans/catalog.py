@@ -526,12 +526,12 @@ def selection_counts(spark, sf):
 
 @query()
 def deconvolve(spark, sf):
-    return P.best_by_bic(P.deconvolve_sweep(spectrum(spark, sf), 1, 2)).withColumn("peaks", F.size("peaks"))
+    return P.best_by_bic(P.deconvolve_sweep(spectrum(spark, sf))).withColumn("peaks", F.size("peaks"))
 
 
 @query()
 def stability(spark, sf):
-    return P.stability_select(spectrum(spark, sf), w=3.0, sigma=0.8, step=0.5, radius=2.0, n_lambdas=8)
+    return P.stability_select(spectrum(spark, sf), w=3.0, sigma=0.8, step=0.5, radius=2.0)
 
 
 @query()

@@ -169,3 +169,29 @@ def test_mass_match_takes_every_channel(spark):
             expected[k] = (row, round(m, 6))
     got = {r.ch_idx: (r.row_index, r.mass_amu) for r in catalog.QUERIES["mass_match"](spark, sf).collect()}
     assert got == expected
+
+
+@pytest.fixture(scope="module")
+def hourly(spark, tmp_path_factory):
+    """An events table whose hourly counts are three peaks; the middle one of `faint` is seldom selected."""
+    at = tmp_path_factory.mktemp("hourly")
+    hours = np.arange(24.0)
+    rows = []
+    for name, centres, heights in (("three", (4, 11, 18), (300, 200, 250)), ("faint", (4, 11.5, 19), (300, 40, 250))):
+        counts = np.rint(sum(P.slit_peak(hours, a, mu, 3.0, 0.8) for mu, a in zip(centres, heights, strict=True)))
+        rows += [(name, int(h), int(n)) for h, n in zip(hours, counts, strict=True)]
+    df = spark.createDataFrame(rows, "event_type string, h int, n int").filter("n > 0")
+    df.selectExpr("event_type", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, h) AS ts", "explode(sequence(1, n)) AS event_id").write.parquet(f"{at}/events.parquet")
+    return str(at)
+
+
+def test_registered_deconvolve_finds_three_peaks(spark, hourly):
+    assert {r.scan_id: r.n for r in catalog.QUERIES["deconvolve"](spark, hourly).collect()} == {"three": 3, "faint": 3}
+
+
+def test_registered_stability_rejects_what_few_penalties_choose(spark, hourly):
+    rows = catalog.QUERIES["stability"](spark, hourly).filter("selected").collect()
+    picked = {n: sorted(r.position for r in rows if r.scan_id == n) for n in ("three", "faint")}
+    assert picked["three"] == pytest.approx([4, 11, 18], abs=0.25)
+    assert picked["faint"] == pytest.approx([4, 19], abs=0.25)
+    assert min(r["count"] for r in rows) >= 3
