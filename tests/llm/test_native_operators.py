@@ -103,6 +103,16 @@ def test_line_dedup_against_plain(spark):
     assert any(r.n_dropped for r in out.values())
 
 
+def test_line_dedup_of_small_hosts(spark):
+    """The ratio decides on hosts of 1 to 60 pages too; a line on one page only stays."""
+    rows = [(f"h{n}", "\n".join([f"h{n} text {k}", "menu", *(["rare"] if k < 2 else []), *(["once"] if k == 0 else [])])) for n in (1, 2, 3, 4, 10, 40, 60) for k in range(n)]
+    df = spark.createDataFrame([(k, h, t) for k, (h, t) in enumerate(rows)], "doc_id long, source string, text string")
+    out = {r.doc_id: r.text for r in L.drop_boilerplate_lines(df, ratio=0.04).collect()}
+    assert [out[k] for k in range(len(rows))] == boilerplate(rows, 0.04, 2)
+    left = {h: {x for k, (g, _) in enumerate(rows) if g == h for x in out[k].split("\n") if " " not in x} for h, _ in rows}
+    assert left == {"h1": {"menu", "rare", "once"}, "h60": {"rare", "once"}} | {f"h{n}": {"once"} for n in (2, 3, 4, 10, 40)}
+
+
 def test_line_dedup_of_odd_inputs(spark):
     df = spark.createDataFrame([(1, "a", "x\n" * 50_000), (1, "a", "x\n" * 50_000), (None, None, None)], "doc_id long, source string, text string").selectExpr("*", "1 as h", "2 as n_lines", "text as t", "3 as `row`", "4 as line")
     out = L.drop_boilerplate_lines(df)
