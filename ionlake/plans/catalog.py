@@ -357,12 +357,12 @@ def recommendations(spark, sf):
 
 @query()
 def gmm_fit(spark, sf):
-    return D.mixture_components(D.fit_mixtures(summed(spark, sf), k_max=4))
+    return D.mixture_components(D.fit_mixtures(summed(spark, sf)))
 
 
 @query()
 def gmm_thresholds(spark, sf):
-    return D.best_thresholds(D.fit_mixtures(summed(spark, sf), k_max=4), "bic")
+    return D.best_thresholds(D.fit_mixtures(summed(spark, sf)), "bic")
 
 
 # --- clusters
@@ -406,7 +406,7 @@ def cluster_table(spark, sf):
 
 
 def _clusters(spark, sf, method):
-    return C.cluster_pixels(summed(spark, sf), CHANNELS, method, k_max=4)
+    return C.cluster_pixels(summed(spark, sf), CHANNELS, method)
 
 
 @query()

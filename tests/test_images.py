@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ionlake.functions import linkage as L, mixtures as M, pixels as X
 from ionlake.operators import clusters as C, distributions as D, image as I, tiles as T
+from ionlake.plans import catalog
 
 VOXEL = "acq_id int, plane int, channel string, y int, x int, counts long"
 
@@ -184,3 +185,9 @@ def test_regions_components_and_names(spark):
     assert {r.roi for r in named.select("roi").distinct().collect()} == {"r1", "r2", "r1_2", "r1_3"}
     assert I.union_rois(found, found.filter("roi = 'r1'"), rename=False).count() == found.count()
     assert I.decimation_step(10, 1024, 1024) == 8
+
+
+@pytest.mark.parametrize(("name", "ks"), [("gmm_fit", range(1, 7)), ("linkage_labels", range(2, 11))])
+def test_registered_sweeps_reach_the_default_k(spark, name, ks):
+    out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(r.k for r in out.select("k").distinct().collect()) == list(ks)
