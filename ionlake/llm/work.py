@@ -6,18 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in local tests.
-LOCAL_DIR = "/tmp/checkpoints"
-
-
 class Workspace:
-    """Writes tables under spark.checkpoint.dir, so that lineage ends there and
-    a lost executor costs at most the stage in hand.  Folders go when dropped,
-    or at the latest when the driver's file systems close."""
+    """Writes tables under spark.checkpoint.dir, or in the warehouse where that
+    is unset, so that lineage ends there and a lost executor costs at most the
+    stage in hand.  Folders go when dropped, or at the latest when the driver's
+    file systems close."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.dir = f"{base.rstrip('/')}/ws-{uuid.uuid4().hex}"
         self.n = 0
         jvm = spark._jvm
