@@ -13,11 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernel as K
+from .work import Workspace
 
 BUCKETS = 1 << 20
+#: Steps in which a sample's share is measured.
+SCALE = 1 << 30
 
 #: Shape classes: 1 lower-case and other letters, 2 A-Z, 3 digits; marks stand for themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -91,19 +94,32 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 2, alpha:
     return weight(z, n), -bias_z / ((beta + bias_n**0.5) / alpha)
 
 
-def train(labelled: DataFrame, max_rows: int = 6_000, max_bytes: int = 32_000_000) -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled(key, label, text).
+def order_of(*key: str) -> Column:
+    """A fixed number in [0, SCALE) for each key."""
+    return F.pmod(F.xxhash64(*key, F.lit(29)), F.lit(SCALE))
 
-    About max_rows rows and max_bytes of text at most, whole texts, chosen and
-    ordered by a hash of key; their features take some seven times the bytes.
+
+def sample(docs: DataFrame, known: DataFrame, max_rows: int, max_bytes: int, work: Workspace) -> DataFrame:
+    """(order, label, text) of about max_rows labelled texts and max_bytes of text at most.
+
+    docs(id, text); known(id, label), an id at most once.  Rows of equal id and
+    text count once.  Sizes meet the labels without their texts; the texts that
+    are taken meet a table of at most some max_rows rows.
     """
-    total, size = labelled.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    keyed = docs.withColumn("digest", F.xxhash64("text"))
+    sizes = keyed.select("id", "digest", F.octet_length("text").alias("size")).groupBy("id", "digest").agg(F.max("size").alias("size"))
+    sized = work.keep(sizes.join(known, "id").withColumn("order", order_of("id", "digest")), "sizes")
+    total, size = sized.agg(F.count("*"), F.sum("size")).first()
     share = min(1.0, max_rows / max(total, 1), max_bytes / max(size or 0, 1))
-    order = F.pmod(F.xxhash64("key", F.lit(29)), F.lit(1 << 30))
-    held = labelled.select(order.alias("order"), F.col("label").cast("int").alias("label"), "text")
-    if share < 1:
-        held = held.filter(F.col("order") < int(share * (1 << 30)))
-    table = held.mapInArrow(_pack, "order long, label int, b binary, v binary").orderBy("order", "label", "b").toArrow()
+    chosen = work.keep(sized.filter(F.col("order") < int(share * SCALE)).select("id", "digest", "label", "order"), "chosen")
+    few = chosen.count() <= 2 * max_rows
+    held = keyed.join(F.broadcast(chosen) if few else chosen, ["id", "digest"])
+    return held.groupBy("id", "digest", "order", "label").agg(F.first("text").alias("text")).select("order", "label", "text")
+
+
+def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and bias from the driver-sized labelled(order, label, text), in that order; features take some seven times the texts' bytes."""
+    table = labelled.mapInArrow(_pack, "order long, label int, b binary, v binary").orderBy("order", "label", "b").toArrow()
     rows = [(y, np.frombuffer(b, np.int32), np.frombuffer(v, np.float32).astype(float)) for y, b, v in zip(table.column("label").to_pylist(), table.column("b").to_pylist(), table.column("v").to_pylist(), strict=True)]
     weights, bias = ftrl(rows)
     return weights.astype(np.float32), float(bias)
@@ -121,24 +137,28 @@ def _score(shared):
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.3, max_rows: int = 6_000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.3, max_rows: int = 6_000, max_bytes: int = 32_000_000, work: Workspace | None = None) -> DataFrame:
     """(id, held_out, score, predicted) for every row of docs.
 
     labels(doc_id, quality): 1 is good; null ids and qualities are ignored, an
     id with several labels counts as its least.  learn_from: condition (a Column
     over docs) of the rows whose labels may be learned; held_out is its negation
-    (null counts as held out).  score is the model's chance of label 1,
+    (null counts as held out).  The fit takes about max_rows labelled texts and
+    max_bytes of text at most, chosen by a hash of id and text; labelled rows of
+    equal id and text count once.  score is the model's chance of label 1,
     predicted whether it is `cutoff` or more.
 
     Defined cases: null, empty and blank texts get the score of the bias alone;
-    without labels every score is 0.5; repeated rows each give a row; an empty
-    table gives none.  Other columns are ignored.
+    without labels every score is 0.5; repeated rows each give a row; a text of
+    any length is scored whole; an empty table gives no rows.  Other columns are
+    ignored.
     """
     spark = docs.sparkSession
+    work = work or Workspace(spark)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(~learn_from, F.lit(True)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("label"))
-    seen = base.filter("not held_out").join(known, "id").select(F.col("id").alias("key"), "label", "text")
-    model = spark.sparkContext.broadcast(train(seen, max_rows))
-    kind = base.schema["id"].dataType.simpleString()
-    out = base.mapInArrow(_score(model), f"id {kind}, held_out boolean, score double")
+    kind = base.schema["id"].dataType
+    known = labels.select(F.col("doc_id").cast(kind).alias("id"), "quality").filter("id is not null and quality is not null").groupBy("id").agg(F.min("quality").cast("int").alias("label"))
+    seen = sample(base.filter("not held_out").select("id", "text"), known, max_rows, max_bytes, work)
+    model = spark.sparkContext.broadcast(train(seen))
+    out = base.mapInArrow(_score(model), f"id {kind.simpleString()}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= cutoff).cast("int")).withColumnRenamed("id", id_col)
