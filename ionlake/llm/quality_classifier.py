@@ -45,7 +45,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         place = np.concatenate([[0], np.cumsum(keep)])
         shapes = K.span_hashes(shape[keep], place[starts], place[ends], lower=False) if len(starts) else words
         if len(words) > 1:
-            same = words[1:] == words[:-1]
+            same = (words[1:] == words[:-1]) & (rows[1:] == rows[:-1])
             shapes[1:][same] = _SAME
         grams = [(words, 1), (K.ngram_hashes(words, 2) ^ np.uint64(0x11), 2), (K.mix(shapes) ^ np.uint64(0x21), 1), (K.ngram_hashes(shapes, 2) ^ np.uint64(0x22), 2), (K.ngram_hashes(shapes, 3) ^ np.uint64(0x23), 3)]
         grams = [((g & mask).astype(np.int32), n) for g, n in grams]

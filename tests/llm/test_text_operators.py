@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ionlake.llm import decontaminate as D, language_id as G, lm_score as M, quality_classifier as C, quality_rules as Q
 from ionlake.llm.lattice import Vocabulary
 from ionlake.llm.queries import fold
+from ionlake.llm.work import Workspace
 
 from .test_near_dedup import shingles, words
 
@@ -220,6 +221,87 @@ def test_classifier_on_odd_inputs(spark):
     assert C.score_quality(empty(spark), some, fold() != 0).count() == 0
 
 
+def plain_features(text):
+    """bucket -> value, word by word with whole-number arithmetic."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m64
+        return x ^ x >> 31
+
+    def constant(k, seed):
+        return mix((k + 1) * 0x9E3779B97F4A7C15 + seed & m64) | 1
+
+    def word_hash(data, lower):
+        power, total = 1, 0
+        for byte in data:
+            total += constant(byte + 32 if lower and 0x41 <= byte <= 0x5A else byte, 11) * power
+            power = power * 0x5851F42D4C957F2D & m64
+        return mix(total + len(data) & m64)
+
+    def run(hashes, n):
+        return [mix(sum(h * constant(k, 23) for k, h in enumerate(hashes[i : i + n])) & m64) for i in range(len(hashes) - n + 1)]
+
+    def shape(data):
+        own = [1 if 0x61 <= b < 0x7B or b >= 0x80 else 2 if 0x41 <= b < 0x5B else 3 if 0x30 <= b < 0x3A else b for b in data]
+        return bytes(b for i, b in enumerate(own) if not i or b != own[i - 1])
+
+    data = [w.encode() for w in re.findall("[^ \t-\r]+", text or "")]
+    w = [word_hash(x, True) for x in data]
+    s = [0x5A4E if i and w[i] == w[i - 1] else word_hash(shape(x), False) for i, x in enumerate(data)]
+    found = Counter(g & C.BUCKETS - 1 for g in [*w, *(g ^ 0x11 for g in run(w, 2)), *(mix(x) ^ 0x21 for x in s), *(g ^ 0x22 for g in run(s, 2)), *(g ^ 0x23 for g in run(s, 3))])
+    size = math.sqrt(sum(math.log1p(c) ** 2 for c in found.values()))
+    return {b: math.log1p(c) / size for b, c in found.items()}
+
+
+def test_features_and_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(12)
+    parts = ["Alpha", "beta", "beta", "x1!", "ÉÀ", "\n", "\t", "42", "$$$", "Zz9"]
+    texts = [" ".join(rng.choice(parts, int(rng.integers(0, 25)))) for _ in range(60)] + [None, "", "one", "A " * 40]
+    rows = [(k % 3 > 0, b, v) for k, b, v in C.features(pa.array(texts, pa.string()))]
+    assert [dict(zip(b.tolist(), v, strict=True)) for _, b, v in rows] == [pytest.approx(plain_features(t), abs=1e-12) for t in texts]
+
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 1e-3
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(b):
+        if abs(z.get(b, 0.0)) <= l1:
+            return 0.0
+        return -(z[b] - math.copysign(l1, z[b])) / ((beta + math.sqrt(n[b])) / alpha + l2)
+
+    for _ in range(2):
+        for label, bucket, value in rows:
+            own = {b: weight(b) for b in bucket.tolist()}
+            bias = -bz / ((beta + math.sqrt(bn)) / alpha)
+            p = 1 / (1 + math.exp(-(bias + sum(own[b] * v for b, v in zip(bucket.tolist(), value, strict=True)))))
+            for b, v in zip(bucket.tolist(), value, strict=True):
+                g, old = (p - label) * v, n.get(b, 0.0)
+                z[b] = z.get(b, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * own[b]
+                n[b] = old + g * g
+            g = p - label
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * bias
+            bn += g * g
+    weights, bias = C.ftrl(rows)
+    assert bias == pytest.approx(-bz / ((beta + math.sqrt(bn)) / alpha), abs=1e-9)
+    assert {b: weights[b] for b in z} == pytest.approx({b: weight(b) for b in z}, abs=1e-9)
+    assert np.count_nonzero(weights) == sum(weight(b) != 0 for b in z) > 20
+
+
+def test_classifier_sample_is_bounded_and_counts_copies_once(spark):
+    rows = [(k, f"text number {k} " * 20, "en") for k in range(2000)] + [(5, "text number 5 " * 20, "en")] * 1500
+    docs = spark.createDataFrame(rows, SCHEMA).select(F.col("doc_id").alias("id"), "text")
+    known = spark.createDataFrame([(k, k % 2) for k in range(4000)], "id long, label int")
+    everything = C.sample(docs, known, 10_000, 1 << 30, Workspace(spark)).collect()
+    assert len(everything) == 2000
+    some = C.sample(docs, known, 300, 1 << 30, Workspace(spark)).collect()
+    assert 200 < len(some) < 400 and {tuple(r) for r in some} <= {tuple(r) for r in everything}
+    small = C.sample(docs, known, 10_000, 30_000, Workspace(spark)).collect()
+    assert 0 < sum(len(r.text) for r in small) < 45_000
+
+
 # --- op9
 
 
