@@ -603,7 +603,7 @@ def ref_lookup(spark, sf):
     return T.lookup_reference(spark.createDataFrame(PAIRS, "num string, den string")).select("num", "den", "reference")
 
 
-MASS = "WITH c AS (SELECT 0 AS acq_id, CAST(p_partkey AS INT) AS ch_idx, 10 + p_retailprice/20 AS nom_mass FROM part WHERE p_size <= 10), r AS (SELECT CAST(s_suppkey AS INT) AS row_index, 10 + (900 + s_suppkey*7 % 1100)/20.0 AS mass_amu FROM supplier)"
+MASS = "WITH c AS (SELECT 0 AS acq_id, CAST(p_partkey AS INT) AS ch_idx, 10 + p_retailprice/20 AS nom_mass FROM part), r AS (SELECT CAST(s_suppkey AS INT) AS row_index, 10 + (900 + s_suppkey*7 % 1100)/20.0 AS mass_amu FROM supplier)"
 
 
 @query(f"{MASS}, d AS (SELECT ch_idx, row_index, mass_amu, row_number() OVER (PARTITION BY ch_idx ORDER BY abs(mass_amu-nom_mass), row_index) AS k FROM c, r WHERE abs(mass_amu-nom_mass) < 0.05) SELECT 0 AS acq_id, ch_idx, row_index, round(mass_amu,6) AS mass_amu FROM d WHERE k=1")
