@@ -53,22 +53,18 @@ def enumerate_ions(spark: SparkSession, elements: list[str], nominal_mass: float
 
 
 def _nearest(targets: DataFrame, ions: DataFrame, keys: list[str]) -> DataFrame:
-    """targets(keys, target) with the ion nearest to target: an as-of pair by order of mass instead of all pairs.
+    """targets(keys, target) with the ion nearest to target; null where no ion lies within the target's whole mass or the adjoining ones.
 
-    Ions and targets are laid in one order by mass; each target sees the last
-    ion below and the first above.  Of two at one distance the more plausible wins.
+    The ions, bounded by the number of atoms, are one array a whole mass, which
+    is broadcast; targets stay where they are.  Of ions at one distance the more
+    plausible wins, then the lighter.
     """
-    one = Window.partitionBy("part").orderBy("at", "rank")
-    part = F.floor(F.col("at"))  # a target's neighbours lie within its own or the adjoining masses
-    held = ions.select(F.col("mz").alias("at"), F.struct("mz", "formula", "plausibility").alias("ion"))
-    held = held.withColumn("part", F.explode(F.array(part - 1, part, part + 1)))
-    both = targets.withColumn("at", F.col("target")).withColumn("part", F.floor("at")).withColumn("rank", F.lit(1)).unionByName(held.withColumn("rank", F.lit(0)), allowMissingColumns=True)
-    below = F.last("ion", True).over(one.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("ion", True).over(one.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumn("below", below).withColumn("above", above).filter("rank = 1")
-    gap = lambda c: F.abs(F.col(f"{c}.mz") - F.col("target"))
-    take = F.when(F.col("above").isNull() | (gap("below") < gap("above")) | ((gap("below") == gap("above")) & (F.col("below.plausibility") >= F.col("above.plausibility"))), F.col("below")).otherwise(F.col("above"))
-    return both.withColumn("ion", take).select(*keys, "target", "ion.mz", "ion.formula", "ion.plausibility")
+    mass = F.floor("mz")
+    cells = ions.select(F.explode(F.array(mass - 1, mass, mass + 1)).alias("cell"), F.struct("mz", "formula", "plausibility").alias("ion")).groupBy("cell").agg(F.collect_list("ion").alias("ions"))
+    held = targets.withColumn("cell", F.floor("target")).join(F.broadcast(cells), "cell", "left")
+    gaps = F.transform("ions", lambda x: F.struct(F.abs(x["mz"] - F.col("target")).alias("gap"), (-x["plausibility"]).alias("unlikely"), x["mz"].alias("mz"), x["formula"].alias("formula")))
+    best = held.withColumn("best", F.array_min(gaps))
+    return best.select(*keys, "target", "best.mz", "best.formula", (-F.col("best.unlikely")).alias("plausibility"))
 
 
 def identify_by_difference(peaks: DataFrame, ions: DataFrame, ref_index: int, ref_formula: str) -> DataFrame:
