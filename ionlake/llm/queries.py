@@ -13,7 +13,7 @@ from .near_dedup import near_duplicates
 from .oracles import ORACLES
 from .quality_classifier import score_quality
 from .quality_rules import quality_verdicts
-from .secret_scan import BASE_RULES, scan_versions, span_text
+from .secret_scan import BASE_RULES, scan_in_increments, span_text
 from .warc import read_archive, write_archive
 from .work import Workspace
 
@@ -72,7 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = scan_versions(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+    findings, _ = scan_in_increments(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
     base = F.filter("spans", lambda s: s["rule"] < len(BASE_RULES))
     rules = F.transform("spans", lambda s: s["rule"])
     counts = [(F.size("spans") - F.size(F.array_remove(rules, k))).cast("long").alias(f"n_{r.name}") for k, r in enumerate(BASE_RULES)]
@@ -96,5 +96,4 @@ QUERIES = {
 }
 
 
-
 __all__ = ["ORACLES", "QUERIES"]

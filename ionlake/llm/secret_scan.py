@@ -2,9 +2,9 @@
 
 Every version of every path is content-addressed by the SHA-256 of its text.
 Only pairs of blob and rule version that the ledger lacks are scanned, one text
-a blob; findings are joined back to all paths that hold the blob.  Texts cross
-the network once, to meet the one row chosen for their blob; everything else
-that is shuffled is a digest.
+a blob; findings are joined back to all paths that hold the blob.  Copies of a
+text are reduced to one in the map tasks, so a text crosses the network about
+once; everything else that is shuffled is a digest.
 """
 
 from __future__ import annotations
@@ -45,24 +45,40 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 SPAN = "struct<rule:int,start:bigint,end:bigint>"
+#: Matches whose ends are summed in one run.
+RUN = 256
+#: Blobs of 32 bytes that are broadcast at most.
+FEW_BLOBS = 200_000
 
 
-def _rule_spans(rule: Rule, index: int, text: Column) -> Column:
-    """Spans of the rule's leftmost matches without overlap, in code points, end exclusive."""
+def _lengths(rule: Rule, wanted: Column, text: Column) -> Column:
+    """(gaps, hits, counts): lengths of the pieces between the leftmost matches without overlap, of the matches, and whether each match counts; null without a match."""
     pattern = F.lit(rule.pattern)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, rule.pattern, -1)
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.size(hits) - 1),
-        F.array().cast("array<bigint>"),
-        lambda acc, i: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(F.get(gaps, i)) + F.length(F.get(hits, i)))),
-    )
-    spans = F.zip_with(ends, hits, lambda e, h: F.struct(F.lit(index).alias("rule"), (e - F.length(h)).alias("start"), e.alias("end")))
-    if rule.least:
-        sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
-        spans = F.filter(spans, lambda s, i: F.get(sizes, i))
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(text.rlike(rule.pattern), spans.cast(f"array<{SPAN}>")).otherwise(none)
+    sizes = lambda c: F.transform(c, lambda x: F.length(x))
+    counts = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.length(g) >= rule.least) if rule.least else F.lit(None).cast("array<boolean>")
+    found = F.struct(sizes(F.split(text, rule.pattern, -1)).alias("gaps"), sizes(F.regexp_extract_all(text, pattern, F.lit(0))).alias("hits"), counts.alias("counts"))
+    return F.when(wanted & text.rlike(rule.pattern), found)
+
+
+def _spans(index: int, found: Column, filtered: bool) -> Column:
+    """Spans of a rule's matches in code points, end exclusive, from a column of _lengths.
+
+    Ends are running sums.  An array that grows is copied at each step, so sums
+    are taken over runs of RUN matches and the runs are joined.
+    """
+    none, runs = F.array().cast("array<bigint>"), F.array().cast("array<array<bigint>>")
+    n = F.size(found["hits"])
+    last = lambda c: F.try_element_at(c, F.lit(-1))
+
+    def run(out: Column, start: Column) -> Column:
+        step = lambda acc, i: F.concat(acc, F.array(F.coalesce(last(acc), last(last(out)), F.lit(0).cast("bigint")) + F.get(found["gaps"], i) + F.get(found["hits"], i)))
+        return F.concat(out, F.array(F.aggregate(F.sequence(start, F.least(start + RUN, n) - 1), none, step)))
+
+    ends = F.flatten(F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(RUN)), runs, run))
+    spans = F.zip_with(ends, found["hits"], lambda e, h: F.struct(F.lit(index).alias("rule"), (e - h).alias("start"), e.alias("end")))
+    if filtered:
+        spans = F.filter(spans, lambda s, i: F.get(found["counts"], i))
+    return F.when(found.isNotNull(), spans.cast(f"array<{SPAN}>")).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
@@ -77,46 +93,67 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     findings are not used.
 
     Defined cases: a null text is empty; a null path is a path like others;
-    repeated rows each give a row and are scanned once; no versions give no rows.
-    Other columns are ignored.
+    repeated rows each give a row and are scanned once; a text may have any
+    number of matches; no versions give no rows.  Other columns are ignored.
     """
     spark = versions.sparkSession
     work = work or Workspace(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = versions.select("path", text.alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
     paths = work.keep(held.select("path", "blob"), "paths")
-    chosen = paths.groupBy("blob").agg(F.min("path").alias("rep"))
     every = F.array(*(F.lit(k) for k in range(len(rules))))
     index = F.lit(None).cast("int")
     for k, rule in enumerate(rules):
         index = F.when((F.col("rule") == rule.name) & (F.col("version") == rule.version), k).otherwise(index)
+    one = F.first("text").alias("text")
     if ledger is None:
-        chosen = chosen.withColumn("todo", every)
         known = None
+        texts = held.groupBy("blob").agg(one).withColumn("todo", every)
     else:
         known = ledger.withColumn("index", index).filter("index is not null").select("blob", "index", "spans")
         done = known.groupBy("blob").agg(F.collect_set("index").alias("done"))
-        chosen = chosen.join(done, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<int>")))).filter("size(todo) > 0").drop("done")
-    texts = held.withColumnRenamed("blob", "own").join(chosen, (F.col("own") == F.col("blob")) & F.col("path").eqNullSafe(F.col("rep")))
-    none = F.array().cast(f"array<{SPAN}>")
-    found = F.concat(*(F.when(F.array_contains("todo", k), _rule_spans(rule, k, F.col("text"))).otherwise(none) for k, rule in enumerate(rules)))
-    scanned = work.keep(texts.select("blob", "todo", found.alias("spans")), "scanned")
+        todo = F.array_except(every, F.coalesce("done", F.array().cast("array<int>")))
+        unseen = work.keep(paths.select("blob").distinct().join(done, "blob", "left").select("blob", todo.alias("todo")).filter("size(todo) > 0"), "unseen")
+        if unseen.count() <= FEW_BLOBS:  # texts that are known stay where they are
+            texts = held.join(F.broadcast(unseen.select("blob")), "blob", "left_semi").groupBy("blob").agg(one).join(unseen, "blob")
+        else:
+            texts = held.groupBy("blob").agg(one).join(unseen, "blob")
+    lengths = [_lengths(rule, F.array_contains("todo", k), F.col("text")).alias(f"r{k}") for k, rule in enumerate(rules)]
+    scanned = work.keep(texts.select("blob", "todo", *lengths), "scanned")
+    scanned = scanned.select("blob", "todo", F.concat(*(_spans(k, F.col(f"r{k}"), rule.least > 0) for k, rule in enumerate(rules))).alias("spans"))
 
-    fresh = scanned.filter("size(spans) > 0").dropDuplicates(["blob"]).select("blob", "spans")
+    none = F.array().cast(f"array<{SPAN}>")
+    fresh = scanned.select("blob", "spans")
     if known is not None:
-        old = known.select("blob", "spans").filter("size(spans) > 0")
-        fresh = fresh.union(old).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        fresh = fresh.union(known.select("blob", "spans")).filter("size(spans) > 0").groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     # by start, then rule
     ordered = F.transform(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rule"].alias("rule"), s["end"].alias("end")))), lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
-    fresh = fresh.select("blob", ordered.alias("spans"))
+    fresh = fresh.filter("size(spans) > 0").select("blob", ordered.alias("spans"))
     findings = paths.join(fresh, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
 
     names, marks = F.array(*(F.lit(r.name) for r in rules)), F.array(*(F.lit(r.version) for r in rules))
-    rows = scanned.dropDuplicates(["blob"]).select("blob", "spans", F.explode("todo").alias("index"))
+    rows = scanned.select("blob", "spans", F.explode("todo").alias("index"))
     rows = rows.select("blob", F.get(names, F.col("index")).alias("rule"), F.get(marks, F.col("index")).alias("version"), F.filter("spans", lambda s: s["rule"] == F.col("index")).alias("spans"))
     return findings, rows
 
 
+def scan_in_increments(versions: DataFrame, increments: int = 2, rules: tuple[Rule, ...] = RULES, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) of scan_versions over all of versions(path, text), an increment after the other.
+
+    Paths are dealt to increments by a hash; each increment scans only the pairs
+    of blob and rule version that the ledger of those before it lacks, and its
+    own are written to the ledger before the next.  The rows are those of one
+    call of scan_versions, in all cases that it defines.
+    """
+    work = work or Workspace(versions.sparkSession)
+    findings = ledger = None
+    for k in range(increments):
+        part, rows = scan_versions(versions.filter(F.pmod(F.xxhash64("path"), F.lit(increments)) == k), ledger, rules, work)
+        rows = work.keep(rows, "ledger")
+        findings, ledger = (part, rows) if ledger is None else (findings.union(part), ledger.union(rows))
+    return findings, ledger
+
+
 def span_text(spans: Column | str, rules: tuple[Rule, ...] = RULES) -> Column:
     """kind:start:end of the spans, joined by commas."""
     names = F.array(*(F.lit(r.name) for r in rules))
