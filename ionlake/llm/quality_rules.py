@@ -1,7 +1,8 @@
 """Quality rules whose cutoffs carry an exact bound on the clean documents they reject.
 
 Each rule is a score of the text that is higher for worse documents.  Labelled
-documents are dealt by a hash of their id into a tuning and a holdout half.  For
+texts, one row a distinct text, are dealt by a hash into a tuning and a holdout
+half.  For
 every stratum and rule the tuning half proposes the tightest cutoff worth
 having; on the holdout, cutoffs are tested from the loosest towards that one.
 A cutoff passes when a rejection rate of `risk / number of rules` among clean
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernel as K
 from .work import Workspace
@@ -37,11 +38,11 @@ SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 
 #: Rule: its score in SQL over COUNTS, and the cutoffs that are tested.
 RULES = {
-    "symbols": ("n_symbols / n_words", [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0]),
-    "dup_lines": ("n_dup_lines / n_lines", [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7]),
-    "repeats": ("n_repeat_words / n_words", [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45]),
+    "symbols": ("n_symbols / greatest(n_words, 1)", [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0]),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7]),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45]),
     "upper": ("n_upper / greatest(n_letters, 1)", [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9]),
-    "long_words": ("word_chars / n_words", [5.0, 5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 15.0]),
+    "long_words": ("word_chars / greatest(n_words, 1)", [5.0, 5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 15.0]),
 }
 
 
@@ -156,6 +157,11 @@ def _choose(strata: int, risk: float, delta: float):
     return run
 
 
+def half_of(digest: str) -> Column:
+    """Whether a text serves for tuning or as holdout."""
+    return F.when(F.xxhash64(digest).bitwiseAND(1) == 1, "tune").otherwise("hold")
+
+
 def quality_verdicts(
     docs: DataFrame,
     labels: DataFrame,
@@ -174,24 +180,29 @@ def quality_verdicts(
     `min_words` words, or over half of the words in repeated 3-word windows.
     The rules learn from labelled documents that pass that, by stratum; a
     stratum without enough labels has no active rule, so nothing is rejected
-    there beyond the base.  A null stratum is a stratum of its own.
+    there beyond the base.  A null stratum is a stratum of its own.  Copies of
+    a text in a stratum are one label (the least of theirs), since a bound needs
+    independent labels; near copies still count apart.
 
-    Defined cases: null or empty text has zero counts and base_failed true; a
+    Defined cases: null or empty text has zero counts and base_failed true
+    unless min_words is 0 (the scores of a text without words are 0 then); a
     null id takes no part in learning and still gives a row; repeated rows each
     give a row; no labels leave the base alone; an empty table gives no rows.
     Other columns are ignored.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark)
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    kind = base.schema["id"].dataType.simpleString()
-    counted = work.keep(base.mapInArrow(_count(["id", "stratum", *COUNTS]), f"id {kind}, stratum string, {SCHEMA}"), "counts")
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit(""))  # a null apart from ''
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("id"), stratum.alias("stratum"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    kind = base.schema["id"].dataType
+    counted = work.keep(base.mapInArrow(_count(["id", "stratum", "digest", *COUNTS]), f"id {kind.simpleString()}, stratum string, digest long, {SCHEMA}"), "counts")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = counted.withColumn("base_failed", failed)
 
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
-    half = F.when(F.xxhash64("id").bitwiseAND(1) == 1, "tune").otherwise("hold")
-    seen = counted.filter("not base_failed").join(known, "id").withColumn("half", half)
+    known = labels.select(F.col("doc_id").cast(kind).alias("id"), "quality").filter("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("quality"))
+    seen = counted.filter("not base_failed").join(known, "id").groupBy("stratum", "digest").agg(F.min("quality").alias("quality"), *(F.min(c).alias(c) for c in COUNTS))
+    seen = seen.withColumn("half", half_of("digest"))
     bins = F.array(
         *(
             F.struct(F.lit(rule).alias("rule"), sum((F.expr(score) > c).cast("int") for c in cutoffs).alias("bin"))
