@@ -82,6 +82,69 @@ def test_rules_on_odd_inputs(spark):
     assert Q.quality_verdicts(empty(spark), labels).count() == 0
 
 
+def test_verdicts_against_plain_ones(spark):
+    """kept, end to end: base rules, one label a distinct text, cutoffs by exact tails in fractions, null apart from ''."""
+    rng = np.random.default_rng(31)
+    rows, labels = [], []
+    for k in range(3600):
+        bad = rng.random() < 0.3
+        lang = ["en", "de", "", None][int(rng.choice(4, p=[0.5, 0.2, 0.15, 0.15]))]
+        w = [f"w{rng.integers(900)}" for _ in range(int(rng.integers(40, 90)))]
+        w = [x + "#" if bad and rng.random() < 0.6 else x.upper() if rng.random() < 0.02 else x for x in w]
+        rows.append((k, " ".join(w), lang))
+        if rng.random() < 0.8:
+            labels.append((k, int(not bad)))
+    rows += [(4000 + k, rows[int(rng.integers(40))][1], "en") for k in range(900)]
+    labels += [(4000 + k, int(k % 5 > 0)) for k in range(900)] + [(4000, 0), (None, 1), (9, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r for r in Q.quality_verdicts(docs, spark.createDataFrame(labels, "doc_id long, quality int"), risk=0.2, delta=0.4).collect()}
+    half = {r.doc_id: r.half for r in docs.select("doc_id", F.xxhash64("text").alias("d")).select("doc_id", Q.half_of("d").alias("half")).collect()}
+
+    quality = {}
+    for k, y in labels:
+        if k is not None and y is not None:
+            quality[k] = min(y, quality.get(k, 1))
+    c = {k: dict(zip(Q.COUNTS, counts(t), strict=True)) for k, t, _ in rows}
+    base = {k: v["n_words"] < 50 or 100 * v["n_repeat_words"] > 50 * v["n_words"] for k, v in c.items()}
+    score = {
+        "symbols": lambda v: v["n_symbols"] / max(v["n_words"], 1),
+        "dup_lines": lambda v: v["n_dup_lines"] / max(v["n_lines"], 1),
+        "repeats": lambda v: v["n_repeat_words"] / max(v["n_words"], 1),
+        "upper": lambda v: v["n_upper"] / max(v["n_letters"], 1),
+        "long_words": lambda v: v["word_chars"] / max(v["n_words"], 1),
+    }
+    seen = {}
+    for k, t, lang in rows:
+        if k in quality and not base[k]:
+            seen.setdefault(lang, {}).setdefault(t, []).append(k)
+    cut = {}
+    for lang, texts in seen.items():
+        groups = {"tune_good": [], "tune_bad": [], "hold_good": []}
+        for ids in texts.values():
+            name = f"{half[ids[0]]}_{'good' if min(quality[k] for k in ids) else 'bad'}"
+            if name in groups:
+                groups[name].append(c[ids[0]])
+        for rule, (_, cutoffs) in Q.RULES.items():
+            over = {g: [sum(score[rule](v) > x for v in vs) for x in cutoffs] for g, vs in groups.items()}
+            rate = lambda g, i: over[g][i] / max(len(groups[g]), 1)  # noqa: E731, B023
+            worth = [i for i in range(len(cutoffs)) if rate("tune_good", i) <= 0.2 / len(Q.RULES) and rate("tune_bad", i) >= 0.01 and rate("tune_bad", i) >= 4 * rate("tune_good", i)]
+            for i in range(len(cutoffs) - 1, (worth or [len(cutoffs)])[0] - 1, -1):
+                n, p = len(groups["hold_good"]), 0.2 / len(Q.RULES)
+                if sum(math.comb(n, x) * p**x * (1 - p) ** (n - x) for x in range(over["hold_good"][i] + 1)) > 0.4 / (len(seen) * len(Q.RULES)):
+                    break
+                cut[lang, rule] = cutoffs[i]
+    assert {lang for lang, _ in cut} >= {"en", "de"}
+    for k, _, lang in rows:
+        broken = [] if base[k] else [r for r in Q.RULES if score[r](c[k]) > cut.get((lang, r), math.inf)]
+        assert (out[k].base_failed, list(out[k].failed_rules), out[k].kept) == (base[k], broken, not base[k] and not broken)
+
+
+def test_rules_without_a_least_number_of_words(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int")
+    out = Q.quality_verdicts(odd(spark), labels, min_words=0).collect()
+    assert len(out) == len(ODD) and {r.kept for r in out if not r.n_words} == {True}
+
+
 # --- op3
 
 
@@ -329,3 +392,73 @@ def test_sample_is_bounded_and_fixed(spark):
     a, b = G.train(held, max_rows=200), G.train(held, max_rows=200)
     assert a[0] == b[0] == ["de", "en"] and np.array_equal(a[1], b[1])
     assert hashlib.md5(a[1].tobytes()).hexdigest() != hashlib.md5(G.train(held, max_rows=5000)[1].tobytes()).hexdigest()
+
+
+def plain_grams(text):
+    """bucket -> count, character by character; None without a letter."""
+    code, letters = [32], 0
+    for c in (text or "").lower():
+        if c.isalpha():
+            code.append(ord(c))
+            letters += 1
+        elif code[-1] != 32:
+            code.append(32)
+    if code[-1] != 32:
+        code.append(32)
+    found = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(code) - n + 1):
+            h = n * 0x2545F491 & 0xFFFFFFFF
+            for x in code[i : i + n]:
+                h = (h ^ x) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            found[h & G.BUCKETS - 1] += 1
+    return found if letters else None
+
+
+@pytest.mark.parametrize("chars", [7, 64, 1 << 19])
+def test_grams_against_plain_ones(monkeypatch, chars):
+    monkeypatch.setattr(G, "CHARS", chars)
+    monkeypatch.setattr(G, "LONG", 30)
+    rng = np.random.default_rng(7)
+    parts = ["a", "B", "é", "Ω", "  ", " ", ".", "12", "ß", "\n", "日", "😀", "ab", "İ"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 60)))) for _ in range(120)] + [None, "", "  ", "1 2", "x" * 500, " x" * 200]
+    got = {}
+    for rows, offsets, buckets, counts in G.counted(pa.array(texts, pa.string())):
+        for k, a, b in zip(rows.tolist(), offsets[:-1], offsets[1:], strict=True):
+            assert k not in got
+            got[k] = dict(zip(buckets[a:b].tolist(), counts[a:b].tolist(), strict=True))
+    assert got == {k: dict(g) for k, t in enumerate(texts) if (g := plain_grams(t))}
+
+
+def test_language_against_plain_bayes(spark):
+    rng = np.random.default_rng(18)
+    rows = [(k, "".join(rng.choice(list("abcdé  ."), 40, p=w / w.sum())), f"l{k % 5}") for k in range(150) for w in [np.roll(np.arange(1, 9), k % 5).astype(float)]]
+    rows += [(200, None, "l0"), (201, "42", "l1"), (202, "abc", None)]
+    sums = {}
+    for _, t, lang in rows:
+        if lang and (g := plain_grams(t)):
+            sums.setdefault(lang, Counter()).update(g)
+    size = {x: sum(c.values()) + 0.5 * G.BUCKETS for x, c in sums.items()}
+    out = {r.doc_id: r for r in G.predict_language(spark.createDataFrame(rows, SCHEMA), F.lit(True)).collect()}
+    for k, t, _ in rows:
+        g = plain_grams(t)
+        if g is None:
+            assert (out[k].lang_pred, out[k].score) == ("und", 0.0)
+            continue
+        log = {x: sum(n * math.log((sums[x][b] + 0.5) / size[x]) for b, n in g.items()) for x in sums}
+        top = max(log.values())
+        assert log[out[k].lang_pred] == pytest.approx(top, abs=1e-4)
+        assert out[k].score == pytest.approx(1 / sum(math.exp((v - top) / math.sqrt(sum(g.values()))) for v in log.values()), abs=1e-4)
+
+
+def test_any_number_of_languages_and_ties(spark):
+    """600 languages take two blocks; a rare one is learned beside a frequent one; of equal languages the first by name wins."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] + letters[k // 26] + letters[k % 7]
+    rows = [(k, f"{word(k)} " * 6, f"x{k:03d}") for k in range(600)] + [(1000 + k, f"{word(3)} " * 6, "x003") for k in range(2000)]
+    rows += [(5000, "öö öö", "same1"), (5001, "öö öö", "same0"), (5002, "öö", None)]
+    out = {r.doc_id: r for r in G.predict_language(spark.createDataFrame(rows, SCHEMA), F.lit(True), max_rows=700).collect()}
+    assert len(out) == len(rows)
+    assert np.mean([out[k].lang_pred == f"x{k:03d}" for k in range(600)]) > 0.99
+    assert {out[k].lang_pred for k in (5000, 5001, 5002)} == {"same0"} and all(0 < r.score <= 1 for r in out.values())
