@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from .work import Workspace
 
+#: Links whose nodes' minima are broadcast at most.
+FEW_LINKS = 50_000
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-def _mins(edges: DataFrame, upward: bool) -> DataFrame:
-    """(u, m): the least neighbour of u, itself included; upward: over all neighbours, else the lesser ones."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if upward else edges
-    return both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
 
+def _mins(edges: DataFrame) -> DataFrame:
+    """(u, m): the least of u and its neighbours b."""
+    return edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Every node's greater neighbours go to its least neighbour.  edges: a > b."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    joined = both.join(_mins(edges, True), F.col("a") == F.col("u"))
+    joined = _both(edges).join(meet(_mins(_both(edges))), F.col("a") == F.col("u"))
     return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Every node and its lesser neighbours go to the least of them.  edges: a > b."""
-    mins = _mins(edges, False)
+    mins = meet(_mins(edges))
     moved = edges.join(mins, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = mins.select(F.col("u").alias("a"), F.col("m").alias("b"))
     return moved.union(own).filter("a <> b").distinct()
@@ -33,8 +40,10 @@ def connected_components(links: DataFrame, work: Workspace) -> DataFrame:
 
     Large-star and small-star rounds in turn until the links are stars; each
     round's links are written to the shared folder.  The number of links never
-    grows, so neither does a round's cost.  Null ends and loops are ignored; no
-    links give no rows.
+    grows, so neither does a round's cost.  A node's minimum is summed in the map
+    tasks and meets its links apart from that, so that the links of one centre
+    can be split among tasks.  Null ends and loops are ignored; no links give no
+    rows.
     """
     edges = work.keep(links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
@@ -43,8 +52,21 @@ def connected_components(links: DataFrame, work: Workspace) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        star = work.keep(_small_star(_large_star(edges)), "links")
-        work.drop(edges)
-        edges = star
+        held = [edges]
+
+        def meet(mins: DataFrame) -> DataFrame:
+            if before[0] <= FEW_LINKS:
+                return F.broadcast(mins)
+            held.append(work.keep(mins, "minima"))
+            return held[-1]
+
+        star = _large_star(edges, meet)
+        if before[0] > FEW_LINKS:
+            star = work.keep(star, "links")
+            held.append(star)
+        edges = work.keep(_small_star(star, meet), "links")
+        work.drop(*held)
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = work.keep(nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    work.drop(edges)
+    return out

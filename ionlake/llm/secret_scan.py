@@ -48,7 +48,7 @@ SPAN = "struct<rule:int,start:bigint,end:bigint>"
 #: Matches whose ends are summed in one run.
 RUN = 256
 #: Blobs of 32 bytes that are broadcast at most.
-FEW_BLOBS = 200_000
+FEW_BLOBS = 10_000
 
 
 def _lengths(rule: Rule, wanted: Column, text: Column) -> Column:

@@ -131,14 +131,87 @@ def test_blocks_link_components_once(blocks):
 
     def links(band, comps):
         n = len(comps)
-        rows = {"key": [int(keys[0][band])] * n, "i": [0] * n, "j": [blocks[1]] * n, "rep": [10, 11], "comp": comps, "block": list(blocks), "bands": [k.tolist() for k in keys[:n]], "text": texts[:n]}
-        return N._within_block(5, 85, 100, schema)(pa.table(rows)).to_pylist()
+        rows = {"key": [int(keys[0][band])] * n, "i": [0] * n, "j": [blocks[1]] * n, "rep": [10, 11], "comp": comps, "block": list(blocks), "bands": [k.tolist() for k in keys[:n]], "hashes": [s.tobytes() for _, s in K.shingle_sets(pa.array(texts[:n]))]}
+        return N._within_block(85, 100, schema)(pa.table(rows)).to_pylist()
 
     assert len(shared) > 5
     assert links(shared[0], [10, 11]) == [{"a": 10, "b": 11}]
     assert links(shared[1], [10, 11]) == [] and links(shared[0], [10, 10]) == []
 
 
+def test_blocks_against_all_pairs():
+    """A bucket's blocks: postings give the same links as sets of Python, up to those that join nothing."""
+    rng = np.random.default_rng(4)
+    base = np.unique(K.mix(np.arange(300, dtype=np.uint64)))
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(200, 290)), replace=False), K.mix(np.arange(k * 1000 + 5000, k * 1000 + 5000 + int(rng.integers(0, 30)), dtype=np.uint64))])) for k in range(80)]
+    bands = np.tile(np.arange(36), (80, 1))
+    comps = rng.integers(0, 60, 80)
+    for low, high in ((np.arange(80), np.arange(80)), (np.arange(30), np.arange(30, 80))):
+        found = N.block_links(0, bands, sets, comps, low, high, 85, 100)
+        plain = [(x, y) for x in low for y in high if x < y and 100 * len(a := {*sets[x].tolist()} & {*sets[y].tolist()}) >= 85 * (len(sets[x]) + len(sets[y]) - len(a))]
+        assert {*found} <= {*plain} and 0 < len(found) < 60
+
+        def groups(links):
+            label = comps.copy()
+            for x, y in links:
+                label[label == label[x]] = label[y]
+            return {frozenset(np.flatnonzero(label == v).tolist()) for v in label}
+
+        assert groups(found) == groups(plain)
+
+
+def test_blocks_that_can_hold_links_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 600)
+    rng = np.random.default_rng(6)
+    size = {k: int(rng.integers(1, 400)) for k in range(120)} | {120: 17, 121: 20, 122: 20 * 17, 123: 400}
+    rows = [(key, k, n) for key in (1, 2) for k, n in size.items() if key == 1 or k % 3 == 0]
+    dealt = N.deal_blocks(spark.createDataFrame(rows, "key long, rep long, n long"), 85, 100, Workspace(spark)).collect()
+    tasks = defaultdict(list)
+    for r in dealt:
+        tasks[r.key, r.i, r.j].append((r.rep, r.block))
+    met = defaultdict(int)
+    for (key, i, j), members in tasks.items():
+        low, high = ([rep for rep, block in members if block == at] for at in (i, j))
+        for x in low:
+            for y in high:
+                if i != j or x < y:
+                    met[key, min(x, y), max(x, y)] += 1
+    assert set(met.values()) == {1}
+    can = {(key, x, y) for key, x, n in rows for other, y, m in rows if key == other and x < y and 100 * min(n, m) >= 85 * max(n, m)}
+    assert can <= set(met) and len(met) < len(rows) ** 2 / 4
+    # a row meets the blocks of three levels, which hold sizes within a factor of (20/17)^2 and more by rounding up
+    reach = (20 / 17) ** 2
+    assert len(dealt) <= sum(3 + sum(m for other, _, m in rows if other == key and n / reach <= m <= n * reach) / 600 for key, _, n in rows)
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rng = np.random.default_rng(9)
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    rows = [(5, text("A")), (7, text("A")), (7, text("B")), (3, text("B")), (20, text("C")), (20, text("D")), (21, text("D") + " end"), (22, text("E")), (22, ""), (11, text("E")), (30, None), (30, None), (40, text("F")), *[(41, text("F"))] * 50]
+    for k in range(100, 160):
+        rows.append((k, text(f"x{rng.integers(20)}")))
+        rows.append((k, text(f"x{rng.integers(20)}") + (" tail" if rng.random() < 0.5 else "")))
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(shingles(t))
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in texts:
+        for y in texts:
+            if x < y and any(a and 100 * len(a & b) >= 85 * len(a | b) for a in texts[x] for b in texts[y]):
+                p, q = find(x), find(y)
+                root[max(p, q)] = min(p, q)
+    out = N.near_duplicates(spark.createDataFrame(rows, SCHEMA), num=85, den=100).collect()
+    assert len(out) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in out} == {(i, find(i), find(i) == i) for i in texts}
+    assert sorted((r.doc_id, r.n_shingles) for r in out) == sorted((i, len(shingles(t))) for i, t in rows)
+
+
 def test_odd_inputs(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "ONE  two"), (6, "one two three"), (7, long), (8, long + " end"), (None, "one two"), (9, "a b c d e"), (9, "a b c d e"), (None, None)]
