@@ -1,17 +1,18 @@
 """LM scores: a subword lattice model and the smoothed word unigram beside it.
 
-Words are counted where they are read and dealt by hash into buckets, so a
-frequent word costs one entry a batch; each bucket becomes one row of the
-vocabulary table.  The lattice's piece probabilities start from the scores of an
-existing vocabulary and are re-estimated from all training words (expected
-piece counts by forward and backward recursion, summed over buckets).  A text's
-score is the sum over its words of the log of the words' probability, itself
-summed over all segmentations.
+Words are counted where they are read, so a frequent word costs one row a chunk
+of texts, and summed by plain aggregation; runs of the vocabulary, dealt by
+hash, become its packed rows.  The lattice's piece probabilities start from the
+scores of an existing vocabulary and are re-estimated from all training words
+(expected piece counts by forward and backward recursion, summed over packed
+rows).  A text's score is the sum over its words of the log of the words'
+probability, itself summed over all segmentations.
 
 For the word unigram, words of at least 1 / HEAD of the training tokens (no
-more than HEAD words) are broadcast and looked up in place.  A rarer word has
-few occurrences by that bound; these go by bucket to meet the vocabulary, and
-each bucket answers with sums by document.
+more than HEAD words) are broadcast and looked up in place.  A chunk of texts
+asks for its rarer words in a join, one row a distinct word, and finishes its
+sums where the answers meet it.  Rows grow with the texts, whatever the number
+of chunks or packed rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .work import Workspace
 
 #: Entries of the broadcast word table at most (16 MB).
 HEAD = 1 << 20
-#: Documents for which a bucket is made.
+#: Documents for which a packed row of the vocabulary is made.
 DOCS_PER_BUCKET = 4096
 #: Weight of the vocabulary's own scores, in pieces, when probabilities are re-estimated.
 PRIOR_PIECES = 32_000.0
@@ -38,7 +39,7 @@ LN10 = float(np.log(10.0))
 #: Bytes of text that one chunk of either pass holds at most, unless one text is longer.
 CHUNK_BYTES = 1 << 25
 
-COUNT_SCHEMA = "bucket int, words binary, lengths binary, counts binary, texts long"
+COUNT_SCHEMA = "hash long, word binary, n long"
 
 
 def default_vocabulary() -> str:
@@ -88,51 +89,40 @@ def _slice_types(buf, starts, ends, hashes):
     return distinct, counts, lengths, K.LOWER[_gather(buf, starts[first], lengths)]
 
 
-def _cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket (the hash's top bits) begins in ascending hashes, and the end."""
-    return np.concatenate([[0], np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(1, 1 << bits, dtype=np.uint64)), [len(hashes)]]) if bits else np.array([0, len(hashes)])
-
-
-def _count(bits: int):
-    names = [c.split()[0] for c in COUNT_SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches, 0):
-            types = Types()
-            for _, _, buf, offsets in K.slices(batch.column(0)):
-                starts, ends, _ = K.spans(buf, offsets)
-                types.add(*_slice_types(buf, starts, ends, K.span_hashes(buf, starts, ends)))
-            hashes, counts, lengths, words = types.merged()
-            cut = _cuts(hashes, bits)
-            at = np.concatenate([[0], np.cumsum(lengths)])
-            rows = [(b, words[at[x] : at[y]].tobytes(), lengths[x:y].astype(np.uint32).tobytes(), counts[x:y].tobytes(), 0) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-            rows.append((0, b"", b"", b"", batch.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=names)
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each chunk with their counts."""
+    for batch in _chunks(batches, 0):
+        types = Types()
+        for _, _, buf, offsets in K.slices(batch.column(0)):
+            starts, ends, _ = K.spans(buf, offsets)
+            types.add(*_slice_types(buf, starts, ends, K.span_hashes(buf, starts, ends)))
+        hashes, counts, lengths, words = types.merged()
+        at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        column = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(words)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), column, pa.array(counts)], names=["hash", "word", "n"])
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    types = Types()
-    for words, lengths, counts in zip(*(table.column(c).to_pylist() for c in ("words", "lengths", "counts")), strict=True):
-        words, lengths, counts = np.frombuffer(words, np.uint8), np.frombuffer(lengths, np.uint32).astype(np.int64), np.frombuffer(counts, np.int64)
-        ends = np.cumsum(lengths)
-        types.add(K.span_hashes(words, ends - lengths, ends, lower=False), counts, lengths, words)
-    hashes, counts, lengths, words = types.merged()
+    """A packed row of the vocabulary from its (bucket, hash, word, n)."""
+    hashes = np.asarray(table.column("hash").combine_chunks()).view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    table = table.take(pa.array(order))
+    counts = np.asarray(table.column("n").combine_chunks())
+    words = table.column("word").combine_chunks().cast(pa.large_binary())
+    lengths = np.diff(np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1])
     return pa.table(
         {
             "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
-            "words": pa.array([words.tobytes()], pa.binary()),
+            "words": pa.array([b"".join(words.to_pylist())], pa.binary()),
             "lengths": pa.array([lengths.astype(np.uint32).tobytes()], pa.binary()),
             "counts": pa.array([counts.tobytes()], pa.binary()),
             "tokens": pa.array([int(counts.sum())], pa.int64()),
             "types": pa.array([len(counts)], pa.int64()),
-            "texts": pa.array([sum(table.column("texts").to_pylist())], pa.int64()),
         }
     )
 
 
-MERGED_SCHEMA = "bucket int, words binary, lengths binary, counts binary, tokens long, types long, texts long"
+MERGED_SCHEMA = "bucket int, words binary, lengths binary, counts binary, tokens long, types long"
 
 
 def _unpack(words: bytes, lengths: bytes, counts: bytes):
@@ -156,22 +146,24 @@ def _expect(shared):
     return run
 
 
-def _head(least: int):
+def _entries(least: int, most: float):
+    """(hash, n) of words that occur at least `least` and less than `most` times."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, counts, _, _ = _unpack(row["words"], row["lengths"], row["counts"])
-                top = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[top].view(np.int64)), pa.array(counts[top])], names=["hash", "n"])
+                take = (counts >= least) & (counts < most)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(counts[take])], names=["hash", "n"])
 
     return run
 
 
-REQUEST_SCHEMA = "chunk string, bucket int, hashes binary, sizes binary, docs binary, uses binary, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
+REQUEST_SCHEMA = "chunk long, hashes array<long>, words binary, docs binary, uses binary, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
 
 
-def _request(shared, bits: int):
-    """For each batch of texts: a row with the documents and what is known of them in place, and a row of rarer words for each bucket."""
+def _request(shared):
+    """For each chunk of texts a row: what is known of its documents in place, its distinct rarer words, and their uses (place of the word, document, number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, log_p, log_end, head, head_n = shared.value
@@ -179,7 +171,6 @@ def _request(shared, bits: int):
             n = batch.num_rows
             tokens, known = np.ones(n, np.int64), np.zeros(n, np.int64)
             base, score = np.zeros(n), np.full(n, log_end / LN10)
-            chunk = uuid.uuid4().hex
             rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             types, uses = Types(), []
             for lo, hi, buf, offsets in K.slices(batch.column(2)):
@@ -198,69 +189,40 @@ def _request(shared, bits: int):
             in_head = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
             count = np.where(in_head, head_n[at], 0) if len(head) else np.zeros(len(hashes), np.int64)
             log_count = np.log10(count + 0.5)
+            place = (np.cumsum(~in_head) - 1).astype(np.uint32)
             for doc, own, use in uses:
                 word = np.searchsorted(hashes, own)
                 score += np.bincount(doc, weights=log_word[word] * use, minlength=n)
                 top = in_head[word]
                 base += np.bincount(doc[top], weights=log_count[word[top]] * use[top], minlength=n)
                 known += np.bincount(doc[top], weights=use[top], minlength=n).astype(np.int64)
-                rest.append((doc[~top], own[~top], use[~top]))
+                rest.append((place[word[~top]], doc[~top], use[~top]))
             uses.clear()
-            doc, own, use = (np.concatenate([r[k] for r in rest]) if rest else np.zeros(0, t) for k, t in enumerate((np.uint32, np.uint64, np.uint32)))
-            order = np.argsort(own, kind="stable")
-            doc, own, use = doc[order], own[order], use[order]
-            cut = _cuts(own, bits)
-            rows = []
-            for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                if y > x:
-                    distinct, sizes = np.unique(own[x:y], return_counts=True)
-                    rows.append((chunk, b, distinct.tobytes(), sizes.astype(np.uint32).tobytes(), doc[x:y].tobytes(), use[x:y].tobytes(), None, None, None, None, None))
-            rows.append((chunk, -1, None, None, None, None, batch.column(1).to_pylist(), tokens, known, base, score))
-            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            ids = [batch.column(0).to_pylist() if r[1] < 0 else None for r in rows]
-            names = [c.split()[0] for c in REQUEST_SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), pa.array(ids, pa.list_(batch.schema.field(0).type))], names=[*names, "ids"])
+            packed = [np.concatenate([r[k] for r in rest]).tobytes() if rest else b"" for k in range(3)]
+            rare = hashes[~in_head].view(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(rare), batch.column(1), *(pa.array(x) for x in (tokens, known, base, score)), batch.column(0))]
+            # the number that tells chunks apart is written once, with the row
+            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), lists[0], *(pa.array([x], pa.binary()) for x in packed), *lists[1:]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(c.split()[0] for c in REQUEST_SCHEMA.split(", ")), "ids"])
 
     return run
 
 
-ANSWER_SCHEMA = "chunk string, docs binary, sums binary, known binary"
-
-
-def _answer(asked: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if vocabulary.num_rows:
-        row = vocabulary.slice(0, 1).to_pylist()[0]
-        hashes, counts, _, _ = _unpack(row["words"], row["lengths"], row["counts"])
-    out = []
-    for row in asked.select(["chunk", "hashes", "sizes", "docs", "uses"]).to_pylist():
-        own, sizes = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["sizes"], np.uint32)
-        doc, use = np.frombuffer(row["docs"], np.uint32), np.frombuffer(row["uses"], np.uint32)
-        count = np.zeros(len(own), np.int64)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-            count = np.where(hashes[at] == own, counts[at], 0)
-        value = np.repeat(np.log10(count + 0.5), sizes) * use
-        seen = np.where(np.repeat(count, sizes) > 0, use, 0)
-        docs, inverse = np.unique(doc, return_inverse=True)
-        out.append((row["chunk"], docs.tobytes(), np.bincount(inverse, weights=value).tobytes(), np.bincount(inverse, weights=seen).astype(np.int64).tobytes()))
-    return pa.table({c.split()[0]: pa.array([r[k] for r in out], pa.string() if k == 0 else pa.binary()) for k, c in enumerate(ANSWER_SCHEMA.split(", "))})
-
-
 def _finish(tokens: int, types: int, end_count: int, names: list[str]):
     scale = float(np.log10(tokens + 0.5 * (types + 1)))
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        row = docs.slice(0, 1).to_pylist()[0]
-        base, known, n = np.array(row["base"]), np.array(row["n_known"], np.int64), np.array(row["n_tokens"], np.int64)
-        for answer in answers.sort_by("docs").to_pylist():
-            at = np.frombuffer(answer["docs"], np.uint32)
-            base[at] += np.frombuffer(answer["sums"], np.float64)
-            known[at] += np.frombuffer(answer["known"], np.int64)
+    def run(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        column = lambda c: asked.column(c).combine_chunks().flatten()
+        base, known, n = (np.array(column(c)) for c in ("base", "n_known", "n_tokens"))
+        hashes = np.array(column("hashes")).view(np.uint64)
+        count = np.zeros(len(hashes), np.int64)
+        count[np.searchsorted(hashes, np.array(answers.column("hash")).astype(np.int64).view(np.uint64))] = np.array(answers.column("n"))
+        word, doc, use = (np.frombuffer(asked.column(c)[0].as_py(), np.uint32) for c in ("words", "docs", "uses"))
+        base += np.bincount(doc, weights=np.log10(count + 0.5)[word] * use, minlength=len(n))
+        known += np.bincount(doc, weights=np.where(count[word] > 0, use, 0), minlength=len(n)).astype(np.int64)
         base += np.log10(end_count + 0.5) - n * scale
         known += int(end_count > 0)
-        ids = docs.column("ids").combine_chunks().flatten()
-        return pa.table([ids, pa.array(row["held_out"], pa.bool_()), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(row["score"], pa.float64())], names=names)
+        return pa.table([column("ids"), column("held_out"), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), column("score")], names=names)
 
     return run
 
@@ -289,11 +251,13 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     work = work or Workspace(spark)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    bits = max(4, int(base.count() // DOCS_PER_BUCKET).bit_length())
-    counted = base.filter("not held_out").select("text").mapInArrow(_count(bits), COUNT_SCHEMA)
-    words = work.keep(counted.groupBy("bucket").applyInArrow(_merge, MERGED_SCHEMA), "words")
-    n, v, texts = words.agg(F.sum("tokens"), F.sum("types"), F.sum("texts")).first()
-    n, v, texts = n or 0, v or 0, texts or 0
+    rows, texts = base.agg(F.count("*"), F.count_if(~F.col("held_out"))).first()
+    bits = max(4, int(rows // DOCS_PER_BUCKET).bit_length())
+    counted = base.filter("not held_out").select("text").mapInArrow(_count, COUNT_SCHEMA).groupBy("hash", "word").agg(F.sum("n").alias("n"))
+    bucket = F.shiftrightunsigned("hash", 64 - bits).cast("int")
+    words = work.keep(counted.select(bucket.alias("bucket"), "hash", "word", "n").groupBy("bucket").applyInArrow(_merge, MERGED_SCHEMA), "words")
+    n, v = words.agg(F.sum("tokens"), F.sum("types")).first()
+    n, v = n or 0, v or 0
     pieces = Vocabulary.load(vocabulary or default_vocabulary())
     log_p, log_end = pieces.log_p, float(np.log(1e-3))
     log_p = log_p + np.log1p(-1e-3)
@@ -307,15 +271,14 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         log_p, log_end = np.log(smooth / total), float(np.log(texts / total))
         shared.unpersist()
     least = max(1, -(-n // HEAD))
-    head = words.mapInArrow(_head(least), "hash long, n long").toArrow()
+    head = words.mapInArrow(_entries(least, np.inf), "hash long, n long").toArrow()
     head_hash = np.asarray(head.column("hash")).astype(np.int64).view(np.uint64)
     order = np.argsort(head_hash)
     shared = spark.sparkContext.broadcast((pieces, log_p, log_end, head_hash[order], np.asarray(head.column("n"))[order]))
-    asked = work.keep(base.select("id", "held_out", "text").mapInArrow(_request(shared, bits), f"{REQUEST_SCHEMA}, ids array<{kind}>"), "requests")
-    answers = asked.filter("bucket >= 0").select("chunk", "bucket", "hashes", "sizes", "docs", "uses").groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer, ANSWER_SCHEMA)
-    answers = work.keep(answers, "answers")
+    asked = work.keep(base.select("id", "held_out", "text").mapInArrow(_request(shared), f"{REQUEST_SCHEMA}, ids array<{kind}>"), "requests")
+    rarer = words.mapInArrow(_entries(0, least), "hash long, n long")
+    answers = work.keep(asked.select("chunk", F.explode("hashes").alias("hash")).join(rarer, "hash").select("chunk", "hash", "n"), "answers")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    known = asked.filter("bucket = -1").drop("hashes", "sizes", "docs", "uses")
-    return known.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    return asked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         _finish(n + texts, v + int(texts > 0), texts, names), f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -250,6 +250,86 @@ def test_lm_on_odd_inputs(spark):
     assert M.score_texts(empty(spark), fold() == 1).count() == 0
 
 
+def test_lm_score_against_all_segmentations(spark, tmp_path):
+    """rounds=0 uses a unigram model's own scores unchanged: score is the plain lattice sum over the words and the end."""
+    import sentencepiece
+
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join("".join(rng.choice(list("abc"), int(rng.integers(1, 7)))) for _ in range(int(rng.integers(0, 9)))), "en") for k in range(40)]
+    pieces = [b" a", b"ab", b"abc", b"bca", b" ab", b"ca", *(bytes([b]) for b in range(256))]
+    p = rng.random(len(pieces))
+    p /= p.sum()
+
+    class Model:
+        """A unigram model with the pieces above, as the loader sees one."""
+
+        def __init__(self, model_file):
+            pass
+
+        def vocab_size(self):
+            return len(pieces)
+
+        def is_control(self, i):
+            return False
+
+        is_unknown = is_unused = is_control
+
+        def is_byte(self, i):
+            return len(pieces[i]) == 1
+
+        def id_to_piece(self, i):
+            return f"<0x{pieces[i][0]:02X}>" if self.is_byte(i) else pieces[i].decode().replace(" ", "\u2581")
+
+        def get_score(self, i):
+            return math.log(p[i])
+
+    held = sentencepiece.SentencePieceProcessor
+    sentencepiece.SentencePieceProcessor = Model
+    try:
+        own = Vocabulary.load("any")
+        out = M.score_texts(spark.createDataFrame(rows, SCHEMA), F.lit(False), vocabulary="any", rounds=0).collect()
+    finally:
+        sentencepiece.SentencePieceProcessor = held
+    # single bytes come as pieces of the loader's own, all at one score under the least
+    assert np.exp(own.log_p).sum() == pytest.approx(1)
+    ratio = np.exp(own.log_p[:6]) / p[:6]
+    assert ratio == pytest.approx(np.full(6, ratio[0]))
+    table = {x: w for x, w in zip([b" a", b"ab", b"abc", b"bca", b" ab", b"ca"], np.exp(own.log_p[:6]), strict=True)} | {bytes([b]): w for b, w in zip(range(256), np.exp(own.log_p[6:]), strict=True)}
+    end = math.log10(1e-3)
+    keep = 1 - 1e-3
+    scaled = {x: w * keep for x, w in table.items()}
+    assert {r.doc_id: r.score for r in out} == pytest.approx({k: end + sum(math.log10(lattice(w.encode(), scaled)) for w in t.split()) for k, t, _ in rows})
+
+
+def test_lm_rows_grow_with_the_texts(spark, monkeypatch):
+    """Twice the texts, chunks and packed rows give at most 2.2 times the rows that travel."""
+    monkeypatch.setattr(M, "HEAD", 200)
+    monkeypatch.setattr(M, "DOCS_PER_BUCKET", 4)
+    rng = np.random.default_rng(8)
+    seen = []
+
+    class Watched(Workspace):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            seen[-1][name] = seen[-1].get(name, 0) + out.count()
+            return out
+
+    for n in (400, 800):
+        rows = [(k, " ".join(f"w{int(rng.zipf(1.3)) % 4000}" for _ in range(40)), "en") for k in range(n)]
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(n // 25)
+        seen.append({})
+        assert M.score_texts(docs, fold() == 1, rounds=0, work=Watched(spark)).count() == n
+    assert seen[0]["requests"] >= 16 and seen[0]["words"] >= 64
+    for name in ("words", "requests", "answers"):
+        assert seen[1][name] <= 2.2 * seen[0][name], name
+
+
+def test_lm_takes_a_text_of_one_huge_word(spark):
+    rows = [(1, "ab" * 60_000, "en"), (2, "ab", "en")]
+    out = {r.doc_id: r for r in M.score_texts(spark.createDataFrame(rows, SCHEMA), F.lit(False)).collect()}
+    assert out[1].n_tokens == 2 and out[1].n_known == 2 and out[1].score < out[2].score < 0
+
+
 # --- op7
 
 
