@@ -37,7 +37,7 @@ PRIOR_PIECES = 32_000.0
 LN10 = float(np.log(10.0))
 
 #: Bytes of text that one chunk of either pass holds at most, unless one text is longer.
-CHUNK_BYTES = 1 << 25
+CHUNK_BYTES = 1 << 23
 
 COUNT_SCHEMA = "hash long, word binary, n long"
 
