@@ -171,6 +171,33 @@ def test_line_dedup_of_odd_inputs(spark):
     assert L.drop_boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_time_does_not_grow_with_lines_times_list(spark):
+    """Pages of 3,000 lines on a host with 20,000 boilerplate lines."""
+    rows = [(k, "h", "\n".join(f"line {(k * 977 + i * 7) % 20_000}" for i in range(3000))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    began = time.perf_counter()
+    out = {r.doc_id: r for r in L.drop_boilerplate_lines(df, ratio=0.04, counts=True).collect()}
+    assert time.perf_counter() - began < 40
+    assert [out[k].text for k in range(60)] == boilerplate([(h, t) for _, h, t in rows], 0.04, 2)
+    assert sum(r.n_dropped for r in out.values()) > 100_000
+
+
+def test_line_dedup_oracle_form(spark, tmp_path):
+    """The registered query at two pages equals the same SQL over whole pages with that floor."""
+    import duckdb
+
+    from ionlake.llm.oracles import LINE_DEDUP
+    from ionlake.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    assert "n >= 5" in LINE_DEDUP
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(LINE_DEDUP.replace("n >= 5", "n >= 2")).fetchall()}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text_md5) for r in QUERIES["op5_line_dedup"](spark, sf).collect() if r.text_md5 is not None}
+    assert got == want and sum(v[1] for v in got.values()) > 400
+
+
 # --- op4
 
 
