@@ -168,7 +168,13 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", num: int = 4, den: int = 5, shingle: int = 5) -> DataFrame:
-    """The rows of docs that contain no item in the sense of contaminated_pairs; all columns stay."""
+    """The rows of docs that contain no item in the sense of contaminated_pairs; all columns stay, whatever their names.
+
+    Defined cases: rows with a null, empty or blank text stay; null, empty or
+    blank items match nothing; repeated rows go or stay together; texts of any
+    length are held whole; without items all rows stay; an empty table gives no
+    rows.
+    """
     for shared in _blocks(items, item_col, "text", shingle, num, den):
         docs = docs.mapInArrow(_clean(shared, shingle, docs.columns.index(text_col)), docs.schema)
     return docs

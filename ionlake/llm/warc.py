@@ -202,8 +202,8 @@ def write_archive(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
 
     Defined cases: a null payload is empty; a null url is about:blank; a null
     id is always a response, under a random record identifier; rows that share
-    an id give a record each; an empty table gives no bundle and no rows.  Other
-    columns are ignored.
+    an id give a record each, all under the one record identifier of that id; an
+    empty table gives no bundle and no rows.  Other columns are ignored.
     """
     spark = pages.sparkSession
     work = work or Workspace(spark)
@@ -224,6 +224,11 @@ def read_archive(index: DataFrame, uri: str) -> DataFrame:
 
     Each response's payload is checked against its digest; a revisit's payload
     is null and its size and digest are those of the full payload.
+
+    Defined cases: an index row gives a row, repeated ones as often; a record
+    without an id comes under its random identifier, id null; a damaged or
+    missing record raises an error; an empty index gives no rows.  Other columns
+    of index are ignored.
     """
     kind = index.schema["id"].dataType.simpleString()
     return index.select("id", "bundle", "frame", "start", "length").mapInArrow(_read(uri), f"id {kind}, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to_id string, payload binary")
