@@ -272,13 +272,13 @@ def mask_not(image: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def union_rois(base: DataFrame, added: DataFrame, rename: bool = True) -> DataFrame:
-    """ROIs of both; a name taken in the same acquisition gets the first free _n (rename), or is overwritten."""
+    """ROIs of both; a name taken in the same acquisition gets the first _n that neither has (rename), or is overwritten."""
     if not rename:
         return base.join(added.select(ACQ, "roi").distinct(), [ACQ, "roi"], "left_anti").unionByName(added)
-    taken = base.select(ACQ, F.col("roi").alias("held")).distinct()
     names = added.select(ACQ, "roi").distinct()
-    same = taken.join(names, (taken[ACQ] == names[ACQ]) & (F.col("held").startswith(F.col("roi")))).select(taken[ACQ], "roi", "held")
-    used = same.groupBy(ACQ, "roi").agg(F.max(F.col("held") == F.col("roi")).alias("clash"), F.collect_set(F.try_to_number(F.regexp_extract(F.expr("substring(held, length(roi) + 1)"), "^_([0-9]{1,9})$", 1), F.lit("999999999"))).alias("ns"))
+    taken = base.select(ACQ, F.col("roi").alias("held")).distinct().withColumn("own", F.lit(True)).union(names.withColumn("own", F.lit(False)))
+    same = taken.join(names, (taken[ACQ] == names[ACQ]) & (F.col("held").startswith(F.col("roi")))).select(taken[ACQ], "roi", "held", "own")
+    used = same.groupBy(ACQ, "roi").agg(F.max(F.col("own") & (F.col("held") == F.col("roi"))).alias("clash"), F.collect_set(F.try_to_number(F.regexp_extract(F.expr("substring(held, length(roi) + 1)"), "^_([0-9]{1,9})$", 1), F.lit("999999999"))).alias("ns"))
     free = F.array_min(F.array_except(F.sequence(F.lit(2), F.size("ns") + 2), F.transform("ns", lambda v: v.cast("int"))))
     used = used.filter("clash").select(ACQ, "roi", F.concat_ws("_", "roi", free.cast("string")).alias("renamed"))
     return base.unionByName(added.join(used, [ACQ, "roi"], "left").withColumn("roi", F.coalesce("renamed", "roi")).drop("renamed"))
@@ -381,11 +381,14 @@ def rasterise_polygon(spark, height: int, width: int, points: list[tuple[float,
 
 
 def point_cloud(voxels: DataFrame, channel: str, percentile: float, cap: int | None = 60_000, seed: int = 0) -> DataFrame:
-    """Voxels strictly above the channel's percentile over all its voxels; over cap, a seeded hash order picks them (a display cap)."""
+    """Voxels strictly above the channel's percentile over all its voxels; over cap in an acquisition, a seeded hash order picks them (a display cap)."""
     held = voxels.filter(F.col("channel") == channel)
     cut = held.groupBy(ACQ).agg(F.percentile("counts", percentile / 100).alias("cutoff"))
     out = held.join(cut, ACQ).filter("counts > cutoff").select(ACQ, "plane", "y", "x", "counts")
-    return out if cap is None else out.orderBy(F.xxhash64("plane", "y", "x", F.lit(seed))).limit(cap)
+    if cap is None:
+        return out
+    order = Window.partitionBy(ACQ).orderBy(F.xxhash64("plane", "y", "x", F.lit(seed)), "plane", "y", "x")
+    return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap).drop("place")
 
 
 def iso_levels(voxels: DataFrame, channel: str, n: int) -> DataFrame:

@@ -191,3 +191,20 @@ def test_regions_components_and_names(spark):
 def test_registered_sweeps_reach_the_default_k(spark, name, ks):
     out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(r.k for r in out.select("k").distinct().collect()) == list(ks)
+
+
+def test_point_cloud_caps_each_acquisition(spark):
+    rows = [(a, p, "A", y, x, float(a * 1000 + p * 100 + y * 10 + x)) for a in (1, 2) for p in range(4) for y in range(5) for x in range(5)]
+    voxels = spark.createDataFrame(rows, "acq_id int, plane int, channel string, y int, x int, counts double")
+    out = I.point_cloud(voxels, "A", 50, cap=7).collect()
+    assert sorted(r.acq_id for r in out) == [1] * 7 + [2] * 7
+    alone = I.point_cloud(voxels.filter("acq_id = 2"), "A", 50, cap=7).collect()
+    assert {tuple(r) for r in out if r.acq_id == 2} == {tuple(r) for r in alone}
+
+
+def test_union_of_names_that_meet_among_the_added(spark):
+    pixel = lambda names: spark.createDataFrame([(1, n, k, 0) for k, n in enumerate(names)], "acq_id int, roi string, y int, x int")
+    out = I.union_rois(pixel(["a"]), pixel(["a", "a_2"]))
+    assert sorted(r.roi for r in out.collect()) == ["a", "a_2", "a_3"]
+    both = I.union_rois(pixel(["a", "a_2"]), pixel(["a", "a_2", "b"]))
+    assert sorted(r.roi for r in both.collect()) == ["a", "a_2", "a_2_2", "a_3", "b"]
