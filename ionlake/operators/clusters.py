@@ -227,7 +227,11 @@ def dendrogram_heights(merges: np.ndarray, k: int, last: int = 30) -> dict:
 
 
 def cluster_pixels(image: DataFrame, channels: list[str], method: str = "kmeans", k_max: int = 10, space: str = "log_zscored", ratio_pairs: list[tuple[str, str]] = (), min_counts: float | None = None, mask_channel: str | None = None, pixels: DataFrame | None = None, subsample: int = 5000, linkage: str = "ward", seed: int = 0) -> dict:
-    """Features, mask, sweep, metrics and choice of k in one call; labels and centroids as DataFrames."""
+    """Features, mask, sweep, metrics and choice of k in one call; labels and centroids as DataFrames.
+
+    All acquisitions of image share one set of clusters; filter the image for
+    clusters of one.
+    """
     names = [f"{a}/{b}" for a, b in ratio_pairs] if space == "ratios" else channels
     values = feature_space(image, channels, space, ratio_pairs)
     features = premask(image, to_vectors(values, names), mask_channel or channels[0], min_counts, pixels).cache()

@@ -159,6 +159,11 @@ def _fields(schema: str) -> list[str]:
     return [*out, schema[start:].strip()]
 
 
+def gaussian_smooth(spectrum: DataFrame, sigma: float) -> DataFrame:
+    """(scan_id, m, counts) after a Gaussian of `sigma` points, edges reflected."""
+    return _per_scan(spectrum, lambda m, c, _: [{"m": a, "counts": b} for a, b in zip(m.tolist(), P.gaussian_smooth(c, sigma).tolist(), strict=True)], "m double, counts double")
+
+
 def fit_edges(spectrum: DataFrame, side: str = "rising") -> DataFrame:
     return _per_scan(spectrum, lambda m, c, _: [P.fit_edge(m, c, side)], "sigma double, mu double, amplitude double, baseline double, success boolean")
 

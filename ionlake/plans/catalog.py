@@ -585,16 +585,6 @@ def identify_blind(spark, sf):
     return out.select("scan_id", "rank", "assignment", F.round("rms_mau", 5).alias("rms_mau"), F.round("mean_plausibility", 10).alias("mean_plausibility"))
 
 
-@query()
-def match_by_separation(spark, sf):
-    return S.match_by_separation(peaks(spark), S.enumerate_ions(spark, ELEMENTS, 26, mz_tol=0.6))
-
-
-@query()
-def identify_confidence(spark, sf):
-    return S.confidence(S.identify_blind(peaks(spark), S.enumerate_ions(spark, ELEMENTS, 26, mz_tol=0.1)))
-
-
 PAIRS = [("13C", "12C"), ("12C15N", "12C14N"), ("A", "N")]
 
 
