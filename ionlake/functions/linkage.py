@@ -115,3 +115,40 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     b = other.min(axis=1)
     s = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
     return float(s.mean())
+
+
+def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 300, tolerance: float = 1e-4, rows: int = 8192) -> tuple[float, np.ndarray]:
+    """(summed squared distances, centres) of one start: k-means++ seeds, then rounds until the centres' squared moves sum to at most tolerance times the mean variance of the columns.
+
+    A cluster that loses all its points keeps its centre; rows are taken a few thousand at a time.
+    """
+    rng = np.random.default_rng(seed)
+    size = np.einsum("ij,ij->i", x, x)
+    centres = x[[rng.integers(len(x))]]
+    nearest = np.full(len(x), np.inf)
+    while len(centres) < k:
+        c = centres[-1]
+        nearest = np.minimum(nearest, np.maximum(size - 2 * (x @ c) + c @ c, 0))
+        total = nearest.cumsum()
+        at = int(np.searchsorted(total, rng.random() * total[-1], side="right")) if total[-1] > 0 else int(rng.integers(len(x)))
+        centres = np.vstack([centres, x[min(at, len(x) - 1)]])
+    enough = tolerance * float(x.var(axis=0).mean())
+    for step in range(rounds + 1):
+        sums, counts, cost = np.zeros_like(centres), np.zeros(k), 0.0
+        half = np.einsum("ij,ij->i", centres, centres) / 2
+        for a in range(0, len(x), rows):
+            part = x[a : a + rows]
+            score = part @ centres.T - half
+            own = score.argmax(axis=1)
+            cost += float(size[a : a + rows].sum() - 2 * score[np.arange(len(part)), own].sum())
+            counts += np.bincount(own, minlength=k)
+            for j in range(x.shape[1]):
+                sums[:, j] += np.bincount(own, weights=part[:, j], minlength=k)
+        if step == rounds:
+            break
+        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+        shift = float(((moved - centres) ** 2).sum())
+        centres = moved
+        if shift <= enough:
+            break
+    return max(cost, 0.0), centres

@@ -62,21 +62,54 @@ def premask(image: DataFrame, features: DataFrame, mask_channel: str, min_counts
     return features if pixels is None else features.join(pixels, list(PIXEL), "left_semi")
 
 
-def kmeans_sweep(features: DataFrame, k_max: int = 10, seed: int = 0, restarts: int = 5, rounds: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(labels(k, acq_id, y, x, cluster), centroids(k, cluster, vec)) for k = 2..k_max; the best of several starts by cost, clusters from 1."""
+#: Numbers of features that tasks hold whole at most (64 MB); more are clustered by distributed rounds.
+HELD = 1 << 23
+
+
+def kmeans_sweep(features: DataFrame, k_max: int = 10, seed: int = 0, restarts: int = 5, rounds: int = 300, k_min: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(labels(k, acq_id, y, x, cluster), centroids(k, cluster, vec)) for k = k_min..k_max; the best of several starts by cost, clusters from 1.
+
+    Up to HELD numbers, every k and start is a task over the broadcast features;
+    beyond that each fit is a job of distributed rounds.  All pixels are
+    labelled in one pass.
+    """
     spark = features.sparkSession
+    n, p = features.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if n and n * p <= HELD:
+        x = np.array(features.orderBy(*PIXEL).select("vec").toArrow().column("vec").combine_chunks().flatten()).reshape(n, p)
+        centres = _held_fits(spark, x, range(k_min, k_max + 1), seed, restarts, rounds)
+    else:
+        centres = _distributed_fits(features, range(k_min, k_max + 1), seed, restarts, rounds)
+    table = spark.createDataFrame([(k, i + 1, [float(v) for v in c]) for k, cs in centres for i, c in enumerate(cs)], "k int, cluster int, vec array<double>")
+    return nearest_centroid(features, table), table
+
+
+def _held_fits(spark, x: np.ndarray, ks, seed: int, restarts: int, rounds: int) -> list[tuple[int, np.ndarray]]:
+    import pandas as pd
+
+    shared = spark.sparkContext.broadcast(x)
+
+    def run(batches):
+        for pdf in batches:
+            fits = [L.kmeans(shared.value, int(k), int(start), rounds) for k, start in zip(pdf["k"], pdf["start"], strict=True)]
+            yield pd.DataFrame({"k": pdf["k"], "start": pdf["start"], "cost": [c for c, _ in fits], "centres": [m.ravel().tolist() for _, m in fits]})
+
+    # the largest k take longest and go first
+    tasks = spark.createDataFrame([(k, seed + r) for k in sorted(ks, reverse=True) for r in range(restarts)], "k int, start int").repartition(len(ks) * restarts)
+    fits = tasks.mapInPandas(run, "k int, start int, cost double, centres array<double>").collect()
+    best = {k: min((f for f in fits if f["k"] == k), key=lambda f: (f["cost"], f["start"])) for k in ks}
+    shared.unpersist()
+    return [(k, np.array(best[k]["centres"]).reshape(k, -1)) for k in ks]
+
+
+def _distributed_fits(features: DataFrame, ks, seed: int, restarts: int, rounds: int) -> list[tuple[int, list]]:
     data = features.withColumn("features", array_to_vector("vec")).cache()
-    labels, centres = None, []
-    for k in range(2, k_max + 1):
-        best = None
-        for r in range(restarts):
-            model = KMeans(k=k, seed=seed + r, maxIter=rounds, initMode="k-means||", tol=1e-4).fit(data)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        centres += [(k, i + 1, [float(v) for v in c]) for i, c in enumerate(best.clusterCenters())]
-        own = best.transform(data).select(F.lit(k).alias("k"), *PIXEL, (F.col("prediction") + 1).alias("cluster"))
-        labels = own if labels is None else labels.unionByName(own)
-    return labels, spark.createDataFrame(centres, "k int, cluster int, vec array<double>")
+    centres = []
+    for k in ks:
+        models = [KMeans(k=k, seed=seed + r, maxIter=rounds, initMode="k-means||", tol=1e-4).fit(data) for r in range(restarts)]
+        centres.append((k, min(models, key=lambda m: m.summary.trainingCost).clusterCenters()))
+    data.unpersist()
+    return centres
 
 
 def hash_sample(features: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -246,4 +279,6 @@ def cluster_pixels(image: DataFrame, channels: list[str], method: str = "kmeans"
     labels = labels.cache()
     metrics = k_metrics(features, labels, seed=seed)
     scales = feature_scales(feature_space(image, channels, "log"), space) if space in ("log_zscored", "log_robustz") else None
+    labels.unpersist()
+    features.unpersist()
     return {"labels": labels, "centroids": centroids, "counts": centroids_to_counts(centroids, scales, names, space), "metrics": metrics, "selection": select_k(metrics), **extra}

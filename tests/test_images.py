@@ -208,3 +208,29 @@ def test_union_of_names_that_meet_among_the_added(spark):
     assert sorted(r.roi for r in out.collect()) == ["a", "a_2", "a_3"]
     both = I.union_rois(pixel(["a", "a_2"]), pixel(["a", "a_2", "b"]))
     assert sorted(r.roi for r in both.collect()) == ["a", "a_2", "a_2_2", "a_3", "b"]
+
+
+def test_kmeans_of_held_features(spark):
+    rng = np.random.default_rng(5)
+    middle = np.array([[0, 0, 0], [8, 0, 0], [0, 8, 0], [0, 0, 8.0]])
+    own = rng.integers(4, size=900)
+    x = middle[own] + rng.normal(size=(900, 3)) * 0.5
+    rows = [(1, k // 30, k % 30, v.tolist()) for k, v in enumerate(x)]
+    features = spark.createDataFrame(rows, "acq_id int, y int, x int, vec array<double>")
+    labels, table = C.kmeans_sweep(features, 5)
+    found = {(r.y, r.x): r.cluster for r in labels.filter("k = 4").collect()}
+    groups = {}
+    for k, g in enumerate(own):
+        groups.setdefault(int(g), set()).add(found[k // 30, k % 30])
+    assert all(len(v) == 1 for v in groups.values()) and len(set.union(*groups.values())) == 4
+    for k in (2, 3, 4, 5):
+        c = np.array([r.vec for r in table.filter(f"k = {k}").orderBy("cluster").collect()])
+        d = ((x[:, None] - c) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        # near a fixed point of the plain rounds: each centre is its points' mean, each point at its nearest centre
+        assert np.allclose(c, [x[near == j].mean(axis=0) for j in range(k)], atol=0.05)
+        got = {(r.y, r.x): r.cluster for r in labels.filter(f"k = {k}").collect()}
+        assert all(got[i // 30, i % 30] == j + 1 for i, j in enumerate(near))
+    cost, centres = L.kmeans(x, 4, 0)
+    assert cost == pytest.approx(((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1).sum(), rel=1e-3)
+    assert L.kmeans(np.ones((5, 2)), 3, 0)[0] == pytest.approx(0)

@@ -11,7 +11,7 @@ from ionlake.plans import catalog
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"kmeans_labels", "k_metrics", "cluster_rois"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
