@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ionlake.functions.tables import axis_name
@@ -59,6 +61,66 @@ def choose(table: DataFrame) -> DataFrame:
     return held.select(F.lit("scan").alias("scan_id"), "*", (F.col(first) if first else F.col("pt").cast("double")).alias("m"))
 
 
+SCANS = "scan_id string, pt int, amu double, v double, um double, m double, counts double"
+
+
+def read_scans(spark: SparkSession, folder: str, pattern: str = "*.{csv,xlsx}") -> DataFrame:
+    """Spectra of all scan files of a folder, (scan_id, pt, amu, v, um, m, counts); scan_id is the file's path.
+
+    A file is parsed by one task, which chooses its axes and counts by the rules
+    of `choose`.  A file without a counts column gives no rows.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                names, rows = sheet(bytes(content)) if path.lower().endswith(".xlsx") else text_rows(bytes(content))
+                found = chosen(names, rows)
+                if found is not None:
+                    yield pd.DataFrame({"scan_id": path, **found})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    return files.mapInPandas(run, SCANS)
+
+
+def text_rows(content: bytes) -> tuple[list[str], list[tuple]]:
+    """Header and rows of text of a CSV file; an empty cell is None."""
+    lines = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"))) if r]
+    names = [n or f"_c{k}" for k, n in enumerate(lines[0])] if lines else []
+    return names, [tuple((r[k] or None) if k < len(r) else None for k in range(len(names))) for r in lines[1:]]
+
+
+def tidy_name(name: str) -> str:
+    """tables.axis_name of one name, outside Spark."""
+    return re.sub("[() ]", "", name.lower().replace("µ", "u").replace("μ", "u"))
+
+
+def _numbers(values: list[str | None]) -> np.ndarray:
+    def one(v):
+        try:
+            return float(v) if v is not None and v.strip() else np.nan
+        except ValueError:
+            return np.nan
+
+    return np.array([one(v) for v in values], float)
+
+
+def chosen(names: list[str], rows: list[tuple]) -> dict[str, np.ndarray] | None:
+    """Columns pt, amu, v, um, m and counts of one scan's text cells, by the rules of `choose`; None without a counts column."""
+    columns = {n: _numbers([r[k] for r in rows]) for k, n in enumerate(names)}
+    axis = {kind: next((n for n in names if tidy_name(n) in known), None) for kind, known in AXES.items()}
+    usable = [n for n in names if n not in axis.values() and n.lower() != "pt" and np.count_nonzero(~np.isnan(columns[n])) >= 3]
+    if not usable:
+        return None
+    counts = max((np.nan_to_num(columns[n]) for n in usable), key=np.ptp)
+    pt = np.arange(len(rows))
+    out = {"pt": pt, **{kind.lower(): columns[axis[kind]] if axis[kind] else np.full(len(rows), np.nan) for kind in AXES}}
+    first = next((kind.lower() for kind in AXES if axis[kind]), None)
+    return {**out, "m": out[first] if first else pt.astype(float), "counts": np.where(counts < FLOOR, 0.0, counts)}
+
+
 def sheet(content: bytes) -> tuple[list[str], list[tuple]]:
     """Header and rows of text of a workbook's first sheet; shared, inline and plain cells."""
     book = zipfile.ZipFile(io.BytesIO(content))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
+import struct
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
@@ -20,16 +23,42 @@ FULL = (
 )
 
 
+#: Bytes of planes that one split reads about.
+SPLIT_BYTES = 1 << 27
+#: With more files than this, a file is a split and tasks read the headers.
+MANY_FILES = 64
+
+
+def open_file(path: str):
+    """A file that a task reads in ranges."""
+    from pyarrow import fs as pafs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path[5:]}"
+    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return fs.open_input_file(inner)
+
+
+def head_of(path: str) -> dict:
+    with open_file(path) as f:
+        size = f.size()
+        return H.parse_header(f.read_at(min(size, H.HEADER_BYTES), 0), size)
+
+
 class _Split(InputPartition):
-    def __init__(self, path: str, plane: int, head: dict):
-        self.path, self.plane, self.head = path, plane, head
+    """Planes of a file; all of them, by the header that the task reads, where head is None."""
+
+    def __init__(self, path: str, planes: list[int], head: dict | None):
+        self.path, self.planes, self.head = path, planes, head
+        self.plane = planes[0] if planes else -1
 
 
 class StackReader(DataSourceReader):
-    """One split a plane; equality filters on plane, ch_idx and label skip splits and blocks before they are read."""
+    """Splits of planes; equality filters on plane, ch_idx and label skip splits, planes and blocks before they are read."""
 
     def __init__(self, options):
-        self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
+        paths = options.get("paths") or options.get("path") or ""
+        self.paths = json.loads(paths) if paths.startswith("[") else [p for p in paths.split(",") if p]
         if not self.paths:
             raise ValueError("a path is needed")
         self.wanted: dict[str, set] = {}
@@ -43,37 +72,39 @@ class StackReader(DataSourceReader):
             else:
                 yield f
 
-    def _open(self, path):
-        from pyarrow import fs as pafs
-
-        fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        return fs.open_input_file(inner)
+    def _planes(self, head: dict) -> list[int]:
+        planes = range(head["n_planes"])
+        return [p for p in planes if p in self.wanted.get("plane", planes)]
 
     def partitions(self):
+        if len(self.paths) > MANY_FILES:
+            return [_Split(path, [], None) for path in self.paths]
         out = []
         for path in self.paths:
-            with self._open(path) as f:
-                size = f.size()
-                head = H.parse_header(f.read_at(min(size, H.HEADER_BYTES), 0), size)
-            planes = range(head["n_planes"])
-            out += [_Split(path, p, head) for p in planes if p in self.wanted.get("plane", planes)]
-        return out or [_Split("", -1, {})]
+            head = head_of(path)
+            planes = self._planes(head)
+            each = max(1, SPLIT_BYTES // max(1, 4 * head["width"] * head["height"] * head["n_masses"]))
+            out += [_Split(path, planes[k : k + each], head) for k in range(0, len(planes), each)]
+        return out or [_Split("", [], None)]
 
     def read(self, split):
-        if split.plane < 0:
+        if not split.path:
             return
-        head = split.head
+        head = split.head or head_of(split.path)
         cells = head["width"] * head["height"]
-        with self._open(split.path) as f:
-            for ch in head["channels"]:
-                if ch["ch_idx"] not in self.wanted.get("ch_idx", {ch["ch_idx"]}) or ch["label"] not in self.wanted.get("label", {ch["label"]}):
-                    continue
-                data = f.read_at(cells * 4, head["data_offset"] + (split.plane * head["n_masses"] + ch["ch_idx"]) * cells * 4)
-                yield (split.path.rsplit("/", 1)[-1], split.plane, ch["ch_idx"], ch["label"], head["height"], head["width"], np.frombuffer(data, "<u4").astype(np.int64).tolist())
+        with open_file(split.path) as f:
+            for plane in split.planes if split.head else self._planes(head):
+                for ch in head["channels"]:
+                    if ch["ch_idx"] not in self.wanted.get("ch_idx", {ch["ch_idx"]}) or ch["label"] not in self.wanted.get("label", {ch["label"]}):
+                        continue
+                    data = f.read_at(cells * 4, head["data_offset"] + (plane * head["n_masses"] + ch["ch_idx"]) * cells * 4)
+                    counts = pa.ListArray.from_arrays(pa.array([0, cells], pa.int32()), pa.array(np.frombuffer(data, "<u4").astype(np.int64)))
+                    scalars = ((split.path.rsplit("/", 1)[-1], pa.string()), (plane, pa.int32()), (ch["ch_idx"], pa.int32()), (ch["label"], pa.string()), (head["height"], pa.int32()), (head["width"], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in scalars), counts], names=[c.split()[0] for c in TILES.split(", ")])
 
 
 class StackSource(DataSource):
-    """spark.read.format('ionstack').load(path): tiles of one file, or of several by option paths (comma-separated)."""
+    """spark.read.format('ionstack').load(path): tiles of one file, or of several by option paths (a JSON list, or separated by commas)."""
 
     @classmethod
     def name(cls):
@@ -87,9 +118,11 @@ class StackSource(DataSource):
 
 
 def read_stack(spark: SparkSession, *paths: str) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Tiles of the files.  Filters reach the files where spark.sql.python.filterPushdown.enabled is set, as plans.batch.session does; elsewhere it is set here."""
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") != "true":
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(StackSource)
-    return spark.read.format("ionstack").option("paths", ",".join(paths)).load()
+    return spark.read.format("ionstack").option("paths", json.dumps(paths)).load()
 
 
 def to_voxels(tiles: DataFrame) -> DataFrame:
@@ -115,13 +148,14 @@ HEADER = "data_offset long, stage_x int, stage_y int, stage_z int, duration_s lo
 
 def read_headers(spark: SparkSession, folder: str, pattern: str = "*.im") -> DataFrame:
     """One row a file: its basic header, extended groups and capture time as a timestamp where it parses."""
-    held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    held = held.select("path", "length", F.substring("content", 1, H.HEADER_BYTES).alias("head"))
+    held = list_files(spark, folder, pattern).select("path", "length")
 
     @F.pandas_udf(f"header struct<{_struct(HEADER)}>, full struct<{_struct(FULL)}>")
-    def parse(head: pd.Series, length: pd.Series) -> pd.DataFrame:
+    def parse(path: pd.Series, length: pd.Series) -> pd.DataFrame:
         rows = []
-        for data, size in zip(head, length, strict=True):
+        for name, size in zip(path, length, strict=True):
+            with open_file(name) as f:
+                data = f.read_at(min(size, H.HEADER_BYTES), 0)
             basic = H.parse_header(bytes(data), size)
             full = H.full_metadata(bytes(data), [c["nom_mass"] for c in basic["channels"]])
             full["basic"] = {k: None if v is None else float(v) for k, v in full["basic"].items()}
@@ -129,7 +163,7 @@ def read_headers(spark: SparkSession, folder: str, pattern: str = "*.im") -> Dat
             rows.append({"header": basic, "full": full | {"selectors": json.dumps(full["selectors"])}})
         return pd.DataFrame(rows)
 
-    out = held.select("path", "length", parse("head", "length").alias("p")).select("path", "length", "p.header.*", "p.full")
+    out = held.select("path", "length", parse("path", "length").alias("p")).select("path", "length", "p.header.*", "p.full")
     return out.withColumn("captured", F.try_to_timestamp(F.concat_ws(" ", "date", "time"), F.lit("dd.MM.yy HH:mm")))
 
 
@@ -181,3 +215,66 @@ def add_to_journal(spark: SparkSession, folder: str, kind: str, caption: str, pa
 def export_stack(tiles: DataFrame, folder: str, corrected: DataFrame | None = None) -> None:
     """Tiles for other tools as Parquet, corrected ones where given."""
     (tiles if corrected is None else corrected).write.mode("overwrite").parquet(folder)
+
+
+def npz_bytes(stack: np.ndarray, names: list[str]) -> bytes:
+    """A NumPy archive with arrays stack (axes ZCYX) and channels."""
+    out = io.BytesIO()
+    np.savez_compressed(out, stack=stack, channels=np.array(names), axes="ZCYX")
+    return out.getvalue()
+
+
+def tiff_bytes(stack: np.ndarray, names: list[str]) -> bytes:
+    """A TIFF of 32-bit pages in the order Z, C, uncompressed, described as a hyperstack."""
+    z, c, height, width = stack.shape
+    kind = 3 if stack.dtype.kind == "f" else 1
+    pages = stack.reshape(z * c, height, width).astype("<f4" if kind == 3 else "<u4")
+    text = f"ImageJ=1.11a\nimages={z * c}\nchannels={c}\nslices={z}\nhyperstack=true\naxes=ZCYX\nlabels={'|'.join(names)}\n".encode() + b"\0"
+    size, tags = height * width * 4, 11
+    first = 8 + len(text) + len(text) % 2
+    block = 2 + tags * 12 + 4
+    data_at = first + block * len(pages)
+    out = [struct.pack("<2sHI", b"II", 42, first), text, b"\0" * (len(text) % 2)]
+    for k in range(len(pages)):
+        # tag, type (2 text, 3 short, 4 long), number, value
+        entries = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 32), (259, 3, 1, 1), (262, 3, 1, 1), (270, 2, len(text), 8), (273, 4, 1, data_at + k * size), (277, 3, 1, 1), (278, 4, 1, height), (279, 4, 1, size), (339, 3, 1, kind)]
+        out.append(struct.pack("<H", tags) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", first + (k + 1) * block if k + 1 < len(pages) else 0))
+    return b"".join([*out, pages.tobytes()])
+
+
+ENCODERS = {"npz": npz_bytes, "tiff": tiff_bytes}
+
+
+def export_arrays(tiles: DataFrame, folder: str, kind: str = "npz") -> DataFrame:
+    """Writes a file an acquisition, folder/<acq_id>.<kind>, with axes ZCYX; (acq_id, path, planes, channels, bytes).
+
+    kind is npz or tiff.  tiles(acq_id, plane, label or channel, height, width,
+    counts): whole numbers stay so, others become 32-bit floats; planes and
+    channels that an acquisition lacks are 0.  An acquisition is held by one
+    task.  A file is written under another name first, so a repeated task leaves
+    whole files.
+    """
+    encode = ENCODERS[kind]
+    name = "channel" if "channel" in tiles.columns else "label"
+    held = tiles.select("acq_id", "plane", F.col(name).alias("name"), *(("ch_idx",) if "ch_idx" in tiles.columns else (F.lit(0).alias("ch_idx"),)), "height", "width", "counts")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs as pafs
+
+        planes = sorted(pdf["plane"].unique())
+        names = list(pdf.sort_values(["ch_idx", "name"])["name"].drop_duplicates())
+        height, width = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
+        whole = all(np.asarray(c).dtype.kind in "iu" for c in pdf["counts"])
+        stack = np.zeros((len(planes), len(names), height, width), np.uint32 if whole else np.float32)
+        for plane, channel, counts in zip(pdf["plane"], pdf["name"], pdf["counts"], strict=True):
+            stack[planes.index(plane), names.index(channel)] = np.asarray(counts).reshape(height, width)
+        data, acq = encode(stack, names), str(pdf["acq_id"].iloc[0])
+        fs, inner = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(inner, recursive=True)
+        target, part = f"{inner}/{acq}.{kind}", f"{inner}/.{acq}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(part, compression=None) as f:
+            f.write(data)
+        fs.move(part, target)
+        return pd.DataFrame({"acq_id": [acq], "path": [f"{folder}/{acq}.{kind}"], "planes": [len(planes)], "channels": [len(names)], "bytes": [len(data)]})
+
+    return held.groupBy("acq_id").applyInPandas(run, "acq_id string, path string, planes int, channels int, bytes long")

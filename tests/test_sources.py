@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ionlake.plans.batch import nice_scale_bar, report, run_analyses, session
 from ionlake.sources import header as H, spectra as X, stacks as S
@@ -159,3 +160,57 @@ def test_batches(spark):
     assert lines == ["12C 14N/zz: N/A"]
     assert (nice_scale_bar(20), nice_scale_bar(1)) == (5, 0.5)
     assert session().conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_folder_of_scans(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Pt,X(V),X (amu),X(µm),D1,D2\n" + "\n".join(f"{k},{k * 2},{27 + k / 1000},{k},5,{(k - 3) ** 2 if k != 4 else ''}" for k in range(8)))
+    (tmp_path / "b.csv").write_text("mass,x,y\n" + "\n".join(f"{20 + k},{k % 2},{k * 10}" for k in range(5)))
+    (tmp_path / "c.csv").write_text("a,b\n1,x\n2,y\n0.0001,z\n9,w")
+    (tmp_path / "none.csv").write_text("pt,mass\n1,2\n2,3")
+    out = X.read_scans(spark, str(tmp_path)).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.scan_id.rsplit("/", 1)[-1], []).append(r)
+    assert set(by) == {"a.csv", "b.csv", "c.csv"}
+    for name, rows in by.items():
+        alone = X.read_csv(spark, str(tmp_path / name)).orderBy("pt").collect()
+        same = lambda a, b: a == b or (a is None and b != b) or (b is None and a != a)
+        for a, b in zip(alone, sorted(rows, key=lambda r: r.pt), strict=True):
+            assert all(same(a[c], b[c]) for c in ("pt", "amu", "v", "um", "m", "counts"))
+
+
+def test_names_of_axes_agree(spark):
+    from ionlake.functions.tables import axis_name
+
+    names = ["X (amu)", "Mass", " AMU ", "X(V)", "X(µm)", "X(μm)", "counts 1", ""]
+    held = spark.createDataFrame([(n,) for n in names], "n string").select("n", axis_name("n").alias("t")).collect()
+    assert [r.t for r in held] == [X.tidy_name(r.n) for r in held]
+
+
+def test_array_files(spark, folder, stack, tmp_path):
+    tiles = S.read_stack(spark, f"{folder}/a.im", f"{folder}/b.im")
+    rows = {r.acq_id: r for r in S.export_arrays(tiles, str(tmp_path / "n")).collect()}
+    held = np.load(rows["a.im"].path)
+    assert str(held["axes"]) == "ZCYX" and held["stack"].dtype == np.uint32 and np.array_equal(held["stack"], stack)
+    S.export_arrays(tiles.filter("acq_id = 'a.im'"), str(tmp_path / "t"), "tiff").collect()
+    data = (tmp_path / "t" / "a.im.tiff").read_bytes()
+    assert data[:4] == b"II*\0" and b"hyperstack=true" in data
+    at, pages = int.from_bytes(data[4:8], "little"), []
+    while at:
+        n = int.from_bytes(data[at : at + 2], "little")
+        tag = {int.from_bytes(data[p : p + 2], "little"): int.from_bytes(data[p + 8 : p + 12], "little") for p in range(at + 2, at + 2 + 12 * n, 12)}
+        pages.append(np.frombuffer(data[tag[273] : tag[273] + tag[279]], "<u4").reshape(tag[257], tag[256]))
+        at = int.from_bytes(data[at + 2 + 12 * n : at + 6 + 12 * n], "little")
+    assert np.array_equal(np.array(pages), stack.reshape(-1, *stack.shape[2:]))
+    floats = tiles.filter("acq_id = 'b.im'").withColumn("counts", F.transform("counts", lambda c: c / 2))
+    S.export_arrays(floats, str(tmp_path / "f"), "npz").collect()
+    assert np.load(str(tmp_path / "f" / "b.im.npz"))["stack"].dtype == np.float32
+
+
+def test_many_files_read_their_headers_in_tasks(spark, folder, monkeypatch):
+    some = S.read_stack(spark, f"{folder}/a.im", f"{folder}/b.im").filter("plane = 1 and ch_idx = 0").collect()
+    reader = S.StackReader({"paths": ",".join([f"{folder}/a.im", f"{folder}/b.im"] * 40)})
+    splits = reader.partitions()
+    assert len(splits) == 80 and all(s.head is None for s in splits)
+    assert sum(b.num_rows for s in splits[:2] for b in reader.read(s)) == S.read_stack(spark, f"{folder}/a.im", f"{folder}/b.im").count()
+    assert len(some) == 2
