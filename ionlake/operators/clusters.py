@@ -117,17 +117,21 @@ def hash_sample(features: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return features.orderBy(F.xxhash64(*PIXEL, F.lit(seed)), *PIXEL).limit(n)
 
 
-def hierarchical_sweep(features: DataFrame, k_max: int = 10, subsample: int = 5000, method: str = "ward", seed: int = 0) -> tuple[DataFrame, DataFrame, np.ndarray, float]:
-    """(labels, centroids, merges, cophenetic correlation): linkage of a sample, cut for each k; all pixels go to the nearest centroid."""
+def hierarchical_sweep(features: DataFrame, k_max: int = 10, subsample: int = 5000, method: str = "ward", seed: int = 0) -> tuple[DataFrame, DataFrame, np.ndarray, float, DataFrame]:
+    """(labels, centroids, merges, cophenetic correlation, sample labels): linkage of a sample, cut for each k; all pixels go to the nearest centroid, the sample's own labels are the cuts."""
     spark = features.sparkSession
-    x = np.array([r["vec"] for r in hash_sample(features, subsample, seed).select("vec").collect()], float)
+    rows = hash_sample(features, subsample, seed).select(*PIXEL, "vec").collect()
+    x = np.array([r["vec"] for r in rows], float)
     merges = L.linkage(x, method)
-    centres = []
+    centres, cuts = [], []
     for k in range(2, min(k_max, len(x)) + 1):
         own = L.cut(merges, len(x), k)
         centres += [(k, int(g), [float(v) for v in x[own == g].mean(axis=0)]) for g in np.unique(own)]
+        cuts += [(k, *(r[c] for c in PIXEL), int(g)) for r, g in zip(rows, own, strict=True)]
     table = spark.createDataFrame(centres, "k int, cluster int, vec array<double>")
-    return nearest_centroid(features, table), table, merges, L.cophenetic_correlation(x, merges)
+    pixel = ", ".join(f"{c} {features.schema[c].dataType.simpleString()}" for c in PIXEL)
+    sample = spark.createDataFrame(cuts, f"k int, {pixel}, cluster int")
+    return nearest_centroid(features, table), table, merges, L.cophenetic_correlation(x, merges), sample
 
 
 def squared_distance(a, b):
@@ -272,12 +276,14 @@ def cluster_pixels(image: DataFrame, channels: list[str], method: str = "kmeans"
     if method == "kmeans":
         labels, centroids = kmeans_sweep(features, k_max, seed)
     elif method == "hierarchical":
-        labels, centroids, merges, corr = hierarchical_sweep(features, k_max, subsample, linkage, seed)
+        labels, centroids, merges, corr, scored = hierarchical_sweep(features, k_max, subsample, linkage, seed)
         extra = {"merges": merges, "cophenetic": corr, "cophenetic_band": cophenetic_band(corr)}
     else:
         raise ValueError("method is kmeans or hierarchical")
     labels = labels.cache()
-    metrics = k_metrics(features, labels, seed=seed)
+    # linkage is scored on the sample that it clustered
+    seen = features if method == "kmeans" else features.join(scored.select(*PIXEL).distinct(), list(PIXEL), "left_semi")
+    metrics = k_metrics(seen, labels if method == "kmeans" else scored, seed=seed)
     scales = feature_scales(feature_space(image, channels, "log"), space) if space in ("log_zscored", "log_robustz") else None
     labels.unpersist()
     features.unpersist()

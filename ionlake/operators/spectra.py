@@ -195,6 +195,8 @@ def stability_select(spectrum: DataFrame, w: float, sigma: float, step: float =
 
     Every scan and penalty is a task; a second grouping by scan joins their few positions.
     """
+    import pandas as pd
+
     grid = [(float(a), float(r)) for r in l1_ratios for a in np.logspace(np.log10(lambdas[0]), np.log10(lambdas[1]), n_lambdas)]
     tried = spectrum.withColumn("setting", F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(r).alias("l1")) for a, r in grid)))).select(SCAN, "m", "counts", "setting.alpha", "setting.l1")
 
@@ -203,16 +205,17 @@ def stability_select(spectrum: DataFrame, w: float, sigma: float, step: float =
         return [{"position": at.tolist(), "amplitude": amp.tolist()}]
 
     atoms = _per_scan(tried, run, "position array<double>, amplitude array<double>", (SCAN, "alpha", "l1"))
-    whole = spectrum.groupBy(SCAN).agg(F.array_sort(F.collect_list(F.struct("m", "counts"))).alias("points"))
-    joined = atoms.groupBy(SCAN).agg(F.collect_list(F.struct("position", "amplitude")).alias("found")).join(whole, SCAN)
-    schema = "array<struct<position:double,count:int,amplitude:double,selected:boolean>>"
+    kind = spectrum.schema[SCAN].dataType.simpleString()
 
-    @F.udf(schema)
-    def pick(found, points):
-        m, c = np.array([p["m"] for p in points], float), np.array([p["counts"] for p in points], float)
-        return P.stable_positions([(np.array(f["position"], float), np.array(f["amplitude"], float)) for f in found], m, c, w, sigma, step, radius, threshold, least, signal)
+    def pick(found: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("m")
+        m, c = points["m"].to_numpy(float), points["counts"].to_numpy(float)
+        rows = P.stable_positions([(np.asarray(at, float), np.asarray(amp, float)) for at, amp in zip(found["position"], found["amplitude"], strict=True)], m, c, w, sigma, step, radius, threshold, least, signal) if len(points) and len(found) else []
+        out = pd.DataFrame(rows, columns=["position", "count", "amplitude", "selected"])
+        out.insert(0, SCAN, points[SCAN].iloc[0] if len(points) else None)
+        return out
 
-    return joined.select(SCAN, F.explode(pick("found", "points")).alias("s")).select(SCAN, "s.*")
+    return atoms.groupBy(SCAN).cogroup(spectrum.select(SCAN, "m", "counts").groupBy(SCAN)).applyInPandas(pick, f"{SCAN} {kind}, position double, count int, amplitude double, selected boolean")
 
 
 def deconvolve_sparse(spectrum: DataFrame, step: float = 5e-4, n_lambdas: int = 30, lambdas: tuple[float, float] = (1.0, 1e4), radius: float = 2e-3, threshold: float = 0.10) -> DataFrame:

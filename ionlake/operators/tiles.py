@@ -36,21 +36,20 @@ def plane_shifts(voxels: DataFrame, reference: str, ref_plane: int = 0, bin_plan
     if bin_planes > 1:
         enough = images.groupBy(ACQ).agg(F.max("g").alias("last")).filter("last >= 1").select(ACQ)
         images = images.join(enough, ACQ, "left_semi")
-    ref = images.filter(F.col("g") == ref_plane).groupBy(ACQ).agg(F.collect_list(F.struct("y", "x", "counts")).alias("ref"))
-    tiles = images.groupBy(ACQ, "g").agg(F.collect_list(F.struct("y", "x", "counts")).alias("img")).join(ref, ACQ)
+    part = lambda name, own: [F.col(f"{name}.{c}").alias(f"{own}{c}") for c in ("y", "x", "counts")]
+    cells = F.collect_list(F.struct("y", "x", F.col("counts").cast("double").alias("counts"))).alias("img")
+    tiles = images.groupBy(ACQ, "g").agg(cells)
+    ref = images.filter(F.col("g") == ref_plane).groupBy(ACQ).agg(cells).select(ACQ, *part("img", "r"))
+    tiles = tiles.select(ACQ, "g", *part("img", "i")).join(ref, ACQ)
 
     def shift(batches):
         for pdf in batches:
             rows = []
-            for acq, g, img, r in zip(pdf[ACQ], pdf["g"], pdf["img"], pdf["ref"], strict=True):
-                a, b = (pd.DataFrame(list(v)) for v in (r, img))
-                h, w = int(max(a["y"].max(), b["y"].max())) + 1, int(max(a["x"].max(), b["x"].max())) + 1
-                pair = []
-                for t in (a, b):
-                    m = np.zeros((h, w))
-                    m[t["y"].to_numpy(int), t["x"].to_numpy(int)] = t["counts"]
-                    pair.append(m)
-                rows.append((acq, int(g), *X.cross_correlation_shift(*pair)))
+            for acq, g, iy, ix, iv, ry, rx, rv in zip(*(pdf[c] for c in (ACQ, "g", "iy", "ix", "icounts", "ry", "rx", "rcounts")), strict=True):
+                shape = max(iy.max(), ry.max()) + 1, max(ix.max(), rx.max()) + 1
+                a, b = np.zeros(shape), np.zeros(shape)
+                a[ry, rx], b[iy, ix] = rv, iv
+                rows.append((acq, int(g), *X.cross_correlation_shift(a, b)))
             yield pd.DataFrame(rows, columns=[ACQ, "g", "dy", "dx"])
 
     kind = voxels.schema[ACQ].dataType.simpleString()

@@ -432,11 +432,6 @@ def cluster_rois(spark, sf):
 # --- registration
 
 
-@query()
-def drift_shifts(spark, sf):
-    return X.plane_shifts(stack(spark, sf), "A", bin_planes=4, bin_apply="interp")
-
-
 CENTRES = [(0, 1.5, 0, 1), (0, 5.5, 3, -2), (0, 9.5, 8, 4)]
 
 

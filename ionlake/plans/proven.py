@@ -56,6 +56,18 @@ def drift_range(spark, sf):
     return X.drift_range(shifts)
 
 
+@query(
+    "WITH a AS (SELECT plane, row_number() OVER (ORDER BY plane) - 1 AS r FROM (SELECT DISTINCT plane FROM stack WHERE channel='A')), n AS (SELECT count(*) // 4 AS groups FROM a), i AS (SELECT r // 4 AS g, y, x, sum(counts) AS v FROM stack JOIN a USING (plane), n WHERE channel='A' AND r // 4 < groups GROUP BY 1, 2, 3), "
+    "o AS (SELECT dy, unnest(range(16)) AS dx FROM (SELECT unnest(range(16)) AS dy)), c AS (SELECT b.g, dy, dx, sum(f.v*b.v) AS s FROM i b, o JOIN i f ON f.g=0 AND f.y=(b.y+dy) % 16 AND f.x=(b.x+dx) % 16 GROUP BY 1, 2, 3), "
+    "best AS (SELECT g, dy, dx, row_number() OVER (PARTITION BY g ORDER BY s DESC, dy, dx) AS k FROM c), p AS (SELECT g*4 + 1.5 AS centre, CASE WHEN dy > 8 THEN dy-16 ELSE dy END AS dy, CASE WHEN dx > 8 THEN dx-16 ELSE dx END AS dx FROM best WHERE k=1), "
+    "w AS (SELECT plane, row_number() OVER (ORDER BY plane) - 1 AS r FROM (SELECT DISTINCT plane FROM stack)), j AS (SELECT plane, r, max(centre) FILTER (centre <= r) AS lo, min(centre) FILTER (centre >= r) AS hi FROM w, p GROUP BY 1, 2), "
+    "e AS (SELECT plane, r, coalesce(lo, hi) AS lo, coalesce(hi, lo) AS hi FROM j) "
+    "SELECT 0 AS acq_id, plane, CAST(round_even(a.dy + CASE WHEN hi > lo THEN (r-lo)/(hi-lo)*(b.dy-a.dy) ELSE 0 END, 0) AS INT) AS dy, CAST(round_even(a.dx + CASE WHEN hi > lo THEN (r-lo)/(hi-lo)*(b.dx-a.dx) ELSE 0 END, 0) AS INT) AS dx FROM e JOIN p a ON a.centre=lo JOIN p b ON b.centre=hi"
+)
+def drift_shifts(spark, sf):
+    return X.plane_shifts(stack(spark, sf), "A", bin_planes=4, bin_apply="interp")
+
+
 # --- clusters
 
 
