@@ -193,6 +193,52 @@ def test_decontamination_of_odd_inputs(spark):
     assert D.contaminated_pairs(empty(spark), some).count() == 0
 
 
+def test_joined_items_give_the_pairs_of_the_index(spark, monkeypatch):
+    """More items than the index may hold: the join gives the same pairs and the same rows left, repeats and ties included."""
+    rng = np.random.default_rng(14)
+    word = lambda: f"w{rng.integers(60)}"
+    items = [(k, " ".join(word() for _ in range(int(rng.integers(0, 40))))) for k in range(60)] + [(100, "two words"), (101, None), (3, "two words"), (3, "two words")]
+    rows = []
+    for k in range(150):
+        w = [word() for _ in range(int(rng.integers(0, 400)))]
+        if k % 3 == 0:
+            own = (items[k % 60][1] or "").split()
+            own[len(own) // 2 : len(own) // 2 + k % 2] = ["changed"] * (k % 2)
+            w[len(w) // 2 : len(w) // 2] = own
+        rows.append((k, " ".join(w), "en"))
+    rows += [(k, rows[3][1], "en") for k in range(200, 240)] + [(300, "TWO words", "en"), (301, None, "en"), (None, "two words", "en"), (302, "", "en")]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as d1", "2 as code", "text as hash", "'x' as item")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted(map(str, df.collect()))
+    pairs, left = key(D.contaminated_pairs(docs, table)), key(D.drop_contaminated(docs, table))
+    monkeypatch.setattr(D, "BLOCK_CHARS", 100)
+    assert key(D.contaminated_pairs(docs, table)) == pairs and key(D.drop_contaminated(docs, table)) == left
+    monkeypatch.setattr(D, "FEW_TEXTS", 0)
+    assert key(D.drop_contaminated(docs, table)) == left
+    assert len(pairs) > 30 and 20 < len(left) < len(rows) - 20
+
+
+def test_joined_rows_grow_with_texts_and_items(spark, monkeypatch):
+    """Twice the texts and twice the items: at most 2.2 times the candidates."""
+    monkeypatch.setattr(D, "BLOCK_CHARS", 100)
+    rng = np.random.default_rng(15)
+    seen = []
+
+    class Watched(Workspace):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            seen[-1][name] = out.count()
+            return out
+
+    text = lambda n: " ".join(f"w{rng.integers(3000)}" for _ in range(n))
+    for n in (200, 400):
+        items = [(k, text(20)) for k in range(n)]
+        docs = [(k, text(60) + " " + items[k][1], "en") for k in range(n)]
+        seen.append({})
+        assert D.contaminated_pairs(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), work=Watched(spark)).count() == n
+    assert all(seen[1][k] <= 2.2 * seen[0][k] for k in seen[0])
+
+
 # --- op6
 
 
