@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ionlake.functions import tables as T
 from ionlake.operators import clusters as C, image as I, spectra as P, species as S, tiles as X
 from ionlake.plans import batch
-from ionlake.plans.catalog import CHANNELS, ELEMENTS, ORACLES, PEAKS_SQL, _ions_sql, peaks, query, rounded, spectrum, stack, summed, table
+from ionlake.plans.catalog import CHANNELS, ELEMENTS, ORACLES, PEAKS_SQL, ROI, _ions_sql, peaks, query, rois, rounded, spectrum, stack, summed, table
 
 # --- identification
 
@@ -193,3 +193,23 @@ FIELDS = [0.5, 1.3, 5.0, 12.5, 20.0, 51.0, 300.0]
 @query("WITH f(field_um) AS (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in FIELDS) + "), b(bar) AS (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in batch.SCALE_BARS) + ") SELECT field_um, coalesce(max(bar) FILTER (bar < 0.4*field_um), min(bar)) AS bar FROM f, b GROUP BY 1")
 def scale_bars(spark, sf):
     return spark.createDataFrame([(x, float(batch.nice_scale_bar(x))) for x in FIELDS], "field_um double, bar double")
+
+
+# --- text
+
+PERCENT = "round({} * 100, 1)"
+
+
+@query(f"WITH {ROI}, t AS (SELECT s.acq_id, roi, channel, count(*) AS n, count(*)/(SELECT count(DISTINCT (y,x)) FROM summed) AS f, round(avg(counts),1) AS m, CAST(floor(sum(counts)) AS BIGINT) AS total FROM summed s JOIN r USING (y,x) GROUP BY s.acq_id, roi, channel) SELECT acq_id, roi, channel, printf('%s, %s: %d pixels (%.1f%%), mean %.1f, total %d', roi, channel, n, {PERCENT.format('f')}, m, total) AS line FROM t")
+def roi_lines(spark, sf):
+    return batch.roi_lines(I.roi_statistics(summed(spark, sf), rois(spark, sf)))
+
+
+@query(f"WITH p AS (SELECT DISTINCT y, x FROM summed), l AS (SELECT 2 AS k, x % 2 + 1 AS cluster FROM p UNION ALL SELECT 3, (x+y) % 3 + 1 FROM p), t AS (SELECT k, cluster, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY k) AS f FROM l GROUP BY k, cluster) SELECT k, cluster, printf('cluster %d of %d: %d pixels (%.1f%%)', cluster, k, n, {PERCENT.format('f')}) AS line FROM t")
+def cluster_lines(spark, sf):
+    return batch.cluster_lines(_labels(spark, sf))
+
+
+@query("WITH t AS (SELECT 0 AS place, 'r_name' || chr(9) || 'r_regionkey' AS line UNION ALL SELECT CAST(row_number() OVER (ORDER BY r_name) AS INT), coalesce(r_name, 'N/A') || chr(9) || coalesce(CAST(r_regionkey AS VARCHAR), 'N/A') FROM region) SELECT place, line FROM t")
+def text_table(spark, sf):
+    return batch.text_table(table(spark, sf, "region").select("r_name", "r_regionkey"), ["r_name"])

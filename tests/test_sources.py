@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ionlake.plans import batch as B
 from ionlake.plans.batch import nice_scale_bar, report, run_analyses, session
 from ionlake.sources import header as H, spectra as X, stacks as S
 from ionlake.streaming.watch import plane_totals_stream, sessions, windowed_counts
@@ -214,3 +215,14 @@ def test_many_files_read_their_headers_in_tasks(spark, folder, monkeypatch):
     assert len(splits) == 80 and all(s.head is None for s in splits)
     assert sum(b.num_rows for s in splits[:2] for b in reader.read(s)) == S.read_stack(spark, f"{folder}/a.im", f"{folder}/b.im").count()
     assert len(some) == 2
+
+
+def test_printers(spark, folder):
+    lines = [r.line for r in B.header_lines(S.read_headers(spark, str(folder))).filter("path like '%a.im'").orderBy("place").collect()]
+    assert "n planes: 4" in lines and sum(x.startswith("channel ") for x in lines) == 3
+    parts = spark.createDataFrame([(1, "A", 2, 0, 0.25, 100.0, 50.0, 200.0), (1, "A", 2, 1, 0.75, 1000.0, 500.0, 2000.0)], "acq_id int, channel string, k int, component int, weight double, mean_counts double, p5 double, p95 double")
+    assert [r.line for r in B.mixture_lines(parts).orderBy("component").collect()] == ["A, component 1 of 2: weight 25.0%, mean 100.0, from 50.00 to 200.0", "A, component 2 of 2: weight 75.0%, mean 1000, from 500.0 to 2000"]
+    stats = spark.createDataFrame([(1, "r", "A", 4, 0.5, 2.5, 10), (1, "none", None, 0, None, None, None)], "acq_id int, roi string, channel string, n_pixels long, fraction double, mean double, total long")
+    assert sorted(r.line for r in B.roi_lines(stats).collect()) == ["none: empty", "r, A: 4 pixels (50.0%), mean 2.5, total 10"]
+    table = spark.createDataFrame([(2, None), (1, "x")], "a int, b string")
+    assert [r.line for r in B.text_table(table, ["a"]).orderBy("place").collect()] == ["a\tb", "1\tx", "2\tN/A"]
