@@ -194,12 +194,13 @@ def ratio_median_filter(ratios: DataFrame, k: int = 3) -> DataFrame:
     """(acq_id, y, x, ratio): median of the valid ratios in the k x k window, edges repeated; a masked pixel can be filled."""
     r = k // 2
     size = ratios.groupBy(ACQ).agg(F.max("y").alias("y1"), F.max("x").alias("x1"))
-    steps = F.sequence(F.lit(-r), F.lit(r))
-    spots = ratios.select(*PIXEL).join(size, ACQ).withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
-    clamp = lambda v, top: F.greatest(F.lit(0), F.least(v, F.col(top)))
-    spots = spots.select(*PIXEL, clamp(F.col("y") + F.col("dy"), "y1").alias("ny"), clamp(F.col("x") + F.col("dx"), "x1").alias("nx"))
-    near = ratios.select(ACQ, F.col("y").alias("ny"), F.col("x").alias("nx"), "ratio")
-    return spots.join(near, [ACQ, "ny", "nx"], "left").groupBy(*PIXEL).agg(F.median("ratio").alias("ratio"))
+    # a pixel goes to the windows it lies in; at an edge it also stands for the r places beyond
+    stands = lambda c, top: F.sequence(F.when(F.col(c) == 0, -r).otherwise(F.col(c)), F.when(F.col(c) == F.col(top), F.col(c) + r).otherwise(F.col(c)))
+    windows = lambda c, top: F.filter(F.flatten(F.transform(stands(c, top), lambda v: F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda d: v - d))), lambda t: t.between(0, F.col(top)))
+    sent = ratios.filter("ratio is not null").join(size, ACQ).select(ACQ, F.explode(windows("y", "y1")).alias("y"), "x", "x1", "ratio")
+    sent = sent.select(ACQ, "y", F.explode(windows("x", "x1")).alias("x"), "ratio", F.lit(0).alias("own"))
+    own = ratios.select(*PIXEL, F.lit(None).cast("double").alias("ratio"), F.lit(1).alias("own"))
+    return sent.union(own).groupBy(*PIXEL).agg(F.median("ratio").alias("ratio"), F.max("own").alias("own")).filter("own = 1").drop("own")
 
 
 # --- masks, regions

@@ -101,6 +101,11 @@ def local_maxima(spectrum: DataFrame, height: float = 0.0) -> DataFrame:
     return held.filter((F.col("counts") > F.col("c0")) & (F.col("counts") > F.col("c1")) & (F.col("counts") >= height)).drop("c0", "c1")
 
 
+def find_maxima(spectrum: DataFrame, height: float = 0.0, distance: int = 1, prominence: float | None = None) -> DataFrame:
+    """(scan_id, m, counts) of local maxima at least `height` high, `distance` points apart (the higher stays) and as prominent as `prominence`; a plateau's middle counts."""
+    return _per_scan(spectrum, lambda m, c, _: [{"m": float(m[i]), "counts": float(c[i])} for i in P.local_maxima(c, height, distance, prominence)], "m double, counts double")
+
+
 def gap_cluster(points: DataFrame, radius: float, by: str = SCAN, position: str = "m", weight: str = "counts") -> DataFrame:
     """(by, cluster, centre, total, n): groups split where the gap is over radius, with weighted centres; groups without positive weight go."""
     w = Window.partitionBy(by).orderBy(position)

@@ -195,3 +195,12 @@ def test_registered_stability_rejects_what_few_penalties_choose(spark, hourly):
     assert picked["three"] == pytest.approx([4, 11, 18], abs=0.25)
     assert picked["faint"] == pytest.approx([4, 19], abs=0.25)
     assert min(r["count"] for r in rows) >= 3
+
+
+def test_maxima_by_distance_and_prominence(spark):
+    y = [0, 5, 0, 4, 3.5, 9, 9, 1, 2, 1, 7, 0]
+    df = spark.createDataFrame([("s", float(k), float(v)) for k, v in enumerate(y)], "scan_id string, m double, counts double")
+    at = lambda **kw: [r.m for r in O.find_maxima(df, **kw).orderBy("m").collect()]
+    assert at() == [1, 3, 5, 8, 10] and at(height=4.5) == [1, 5, 10]
+    assert at(distance=3) == [1, 5, 10]
+    assert at(prominence=2) == [1, 5, 10] and at(prominence=0.4) == [1, 3, 5, 8, 10]
