@@ -173,7 +173,9 @@ def learn(labelled: DataFrame, max_rows: int, work: Workspace) -> DataFrame:
     chosen = labelled.join(F.broadcast(shares) if n <= MANY else shares, "lang").filter(place < F.col("share")).select("lang", "text")
     counts = chosen.mapInArrow(_learn, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c"))
-    return work.keep(packed.select("lang", F.col("c.bucket").alias("buckets"), F.col("c.n").alias("counts")), "counts")
+    learned = work.keep(packed.select("lang", F.col("c.bucket").alias("buckets"), F.col("c.n").alias("counts")), "counts")
+    work.drop(sizes)
+    return learned
 
 
 def blocks(learned: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -250,8 +252,10 @@ def predict_language(docs: DataFrame, learn_from, id_col: str = "doc_id", text_c
     labelled = base.filter("not held_out and id is not null and lang is not null and text is not null").select("lang", "text", F.col("id").alias("key"))
     kind = base.schema["id"].dataType.simpleString()
     out = base.select("id", "held_out", "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("best"), F.lit(0.0).alias("odds"))
-    for block in blocks(learn(labelled, max_rows, work)):
+    learned = learn(labelled, max_rows, work)
+    for block in blocks(learned):
         shared = spark.sparkContext.broadcast(block)
         out = out.mapInArrow(_predict(shared), f"id {kind}, held_out boolean, text string, lang_pred string, best double, odds double")
+    work.drop(learned)
     score = F.when(F.col("odds") > 0, 1 / F.col("odds")).otherwise(0.0)
     return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", score.alias("score"))

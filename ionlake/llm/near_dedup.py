@@ -222,8 +222,8 @@ def _within_block(num: int, den: int, links: pa.Schema):
     return run
 
 
-def deal_blocks(members: DataFrame, num: int, den: int, work: Workspace) -> DataFrame:
-    """members(key, rep, n, ...) with block, a row for each pair of blocks (i, j) of its bucket that its block belongs to, i <= j.
+def deal_blocks(members: DataFrame, num: int, den: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(dealt, plan), the latter a kept table: members(key, rep, n, ...) with block, a row for each pair of blocks (i, j) of its bucket that its block belongs to, i <= j.
 
     A block's number has its level, which holds sizes n within a factor of about
     den/num, in the high bits.  Blocks of a level and of adjoining ones meet.
@@ -240,7 +240,7 @@ def deal_blocks(members: DataFrame, num: int, den: int, work: Workspace) -> Data
     held = held.join(plan, "key").withColumn("block", number(0, F.pmod(F.xxhash64("rep"), blocks(0))))
     others = F.flatten(F.transform(F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1))), lambda d: F.when(blocks(d) > 0, F.transform(F.sequence(F.lit(0).cast("long"), blocks(d) - 1), lambda o: number(d, o))).otherwise(F.array().cast("array<long>"))))
     held = held.select(*members.columns, "block", F.explode(others).alias("other"))
-    return held.select(*members.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return held.select(*members.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), plan
 
 
 def near_duplicates(
@@ -338,12 +338,13 @@ def near_duplicates(
             schema = T.StructType([T.StructField("rep", kind), T.StructField("d1", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
             sets = work.keep(members.select(F.col("id").alias("rep"), "text").mapInArrow(_sets(shingle, bands, rows), schema), "members")
             ranked = open_slots.select("key", "rep", "comp").distinct().join(sets.select("rep", "d1", "n", "bands"), "rep").filter("array_contains(bands, key)").drop("bands")
-            dealt = deal_blocks(work.keep(ranked, "ranked"), num, den, work)
+            ranked = work.keep(ranked, "ranked")
+            dealt, plan = deal_blocks(ranked, num, den, work)
             arrow = pa.schema([pa.field("a", _arrow_type(kind)), pa.field("b", _arrow_type(kind))])
             full = dealt.drop("n").join(sets.drop("n"), ["rep", "d1"])
             last = full.groupBy("key", "i", "j").applyInArrow(_within_block(num, den, arrow), link_schema)
             more = work.keep(links.union(last), "confirmed")
-            work.drop(links, sets, comps)
+            work.drop(links, sets, comps, ranked, plan)
             links = more
             comps = connected_components(links, work)
         work.drop(open_slots)

@@ -112,6 +112,7 @@ def sample(docs: DataFrame, known: DataFrame, max_rows: int, max_bytes: int, wor
     total, size = sized.agg(F.count("*"), F.sum("size")).first()
     share = min(1.0, max_rows / max(total, 1), max_bytes / max(size or 0, 1))
     chosen = work.keep(sized.filter(F.col("order") < int(share * SCALE)).select("id", "digest", "label", "order"), "chosen")
+    work.drop(sized)
     few = chosen.count() <= 2 * max_rows
     held = keyed.join(F.broadcast(chosen) if few else chosen, ["id", "digest"])
     return held.groupBy("id", "digest", "order", "label").agg(F.first("text").alias("text")).select("order", "label", "text")

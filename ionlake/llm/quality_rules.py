@@ -217,6 +217,7 @@ def quality_verdicts(
     strata = max(1, table.select("stratum").distinct().count())
     chosen = table.groupBy("stratum").applyInPandas(_choose(strata, risk, delta), "stratum string, " + ", ".join(f"{r} double" for r in RULES))
     chosen = work.keep(chosen, "cutoffs")
+    work.drop(table)
 
     out = counted.join(chosen, "stratum", "left")
     broken = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(

@@ -165,7 +165,7 @@ def test_blocks_that_can_hold_links_meet_once(spark, monkeypatch):
     rng = np.random.default_rng(6)
     size = {k: int(rng.integers(1, 400)) for k in range(120)} | {120: 17, 121: 20, 122: 20 * 17, 123: 400}
     rows = [(key, k, n) for key in (1, 2) for k, n in size.items() if key == 1 or k % 3 == 0]
-    dealt = N.deal_blocks(spark.createDataFrame(rows, "key long, rep long, n long"), 85, 100, Workspace(spark)).collect()
+    dealt = N.deal_blocks(spark.createDataFrame(rows, "key long, rep long, n long"), 85, 100, Workspace(spark))[0].collect()
     tasks = defaultdict(list)
     for r in dealt:
         tasks[r.key, r.i, r.j].append((r.rep, r.block))
