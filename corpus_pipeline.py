@@ -23,28 +23,47 @@ def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff reject go.  Rows that share an id stand or fall together; a null id stays."""
+    """Documents that the base rules or a certified cutoff reject go.
+
+    Rows that share an id stand or fall together; a row without an id stays; a
+    null or empty text fails the base rules; an empty table gives no rows.
+    """
     return _only(docs, quality_verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text."""
+    """Boilerplate lines of a source go; n_chars follows the text.
+
+    All rows stay, also repeated ones and those that lose every line; a null
+    text and its n_chars stay as they are; a null source is a source of its own.
+    """
     out = drop_boilerplate_lines(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a similarity of 0.8 or more, the one with the least id stays."""
+    """Of each group of documents linked at a similarity of 0.8 or more, the one with the least id stays.
+
+    Rows that share an id are one document and go or stay together; rows without
+    an id, and null or empty texts, stay.
+    """
     return _only(docs, near_duplicates(docs, num=4, den=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain 0.8 or more of a benchmark item's shingles go."""
+    """Documents that contain 0.8 or more of a benchmark item's shingles go.
+
+    Null, empty and blank texts stay, and so do all rows where there are no items.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the raked weights, with topic, n_tokens, weight and prob, which replace columns of those names."""
+    """Documents sampled to the raked weights, with topic, n_tokens, weight and prob, which replace columns of those names.
+
+    Documents without words are not sampled; rows that share an id go or stay
+    together; a null source or lang counts as ''; an empty table gives no rows.
+    """
     added = ("topic", "n_tokens", "weight", "prob")
     out = mix_to_targets(docs)
     return out.filter("mix.kept").select(*(c for c in docs.columns if c not in (*added, "mix")), *(f"mix.{c}" for c in added))
