@@ -15,6 +15,8 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith("file:/") and not base.startswith("file://"):
+            base = f"file://{base[5:]}"  # the form that readers outside the JVM know
         self.dir = f"{base.rstrip('/')}/ws-{uuid.uuid4().hex}"
         self.n = 0
         jvm = spark._jvm

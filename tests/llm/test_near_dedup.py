@@ -233,3 +233,23 @@ def test_components_of_chains_and_stars(spark):
 def test_band_plan(similarity, rows):
     assert N.band_plan(similarity) == rows
     assert (1 - similarity**rows) ** 36 <= 2e-5
+
+
+def test_workspace_is_in_the_warehouse_where_no_folder_is_named(spark):
+    class Unnamed:
+        """The session as it is where spark.checkpoint.dir is unset."""
+
+        conf = property(lambda self: self)
+
+        def get(self, key, default=None):
+            return default if key == "spark.checkpoint.dir" else spark.conf.get(key)
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    work = Workspace(Unnamed())
+    assert "/warehouse" in work.dir and work.dir.startswith(("file:///", "/"))
+    kept = work.keep(spark.range(5), "five")
+    assert kept.count() == 5
+    work.drop(kept)
+    assert not work.fs.exists(spark._jvm.org.apache.hadoop.fs.Path(kept.kept_at))
