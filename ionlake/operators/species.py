@@ -130,9 +130,24 @@ def confidence(solutions: DataFrame) -> DataFrame:
 
 
 def match_mass_rows(channels: DataFrame, rows: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """channels(acq_id, ch_idx, nom_mass) with the nearest of rows(acq_id, row_index, mass_amu) strictly within tolerance; zero and missing masses match nothing."""
-    held = channels.filter("nom_mass is not null and nom_mass <> 0").withColumn("cell", F.floor(F.col("nom_mass")))
-    near = rows.filter("mass_amu is not null and mass_amu <> 0").withColumn("cell", F.explode(F.array_distinct(F.array(F.floor(F.col("mass_amu") - tolerance), F.floor(F.col("mass_amu") + tolerance)))))
-    both = held.join(near, ["acq_id", "cell"]).withColumn("d", F.abs(F.col("mass_amu") - F.col("nom_mass"))).filter(F.col("d") < tolerance)
-    best = both.groupBy("acq_id", "ch_idx").agg(F.min(F.struct("d", "row_index", "mass_amu")).alias("b"))
+    """channels(acq_id, ch_idx, nom_mass) with the nearest of rows(acq_id, row_index, mass_amu) strictly within tolerance; zero and missing masses match nothing.
+
+    The distinct masses of both sides are sorted within cells of four tolerances,
+    a row's mass in each cell it reaches, and a channel's mass is measured against
+    the row masses next to it on either side, so dense masses don't multiply.  Of
+    equally near rows the first wins.  Channels are joined by sorting, since a
+    broadcast would lay all of them into the few tasks that hold the masses.
+    """
+    width = 4 * tolerance or 1.0
+    cell = lambda mass: F.floor(mass / width)
+    held = channels.filter("nom_mass is not null and nom_mass <> 0").select("acq_id", "ch_idx", "nom_mass")
+    targets = held.select("acq_id", "nom_mass").distinct().select("acq_id", cell(F.col("nom_mass")).alias("cell"), F.col("nom_mass").cast("double").alias("at"), "nom_mass")
+    first = rows.filter("mass_amu is not null and mass_amu <> 0").groupBy("acq_id", "mass_amu").agg(F.min("row_index").alias("row_index"))
+    reach = F.array_distinct(F.array(cell(F.col("mass_amu") - tolerance), cell(F.col("mass_amu") + tolerance)))
+    near = first.select("acq_id", F.explode(reach).alias("cell"), F.col("mass_amu").cast("double").alias("at"), F.struct("row_index", "mass_amu").alias("near"))
+    sides = [F.expr(f"{side}(near) IGNORE NULLS OVER (PARTITION BY acq_id, cell ORDER BY at)").alias(side) for side in ("lag", "lead")]
+    laid = targets.unionByName(near, allowMissingColumns=True).select("acq_id", "nom_mass", *sides).filter("nom_mass is not null")
+    gaps = [F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.mass_amu") - F.col("nom_mass")).alias("d"), f"{side}.row_index", f"{side}.mass_amu")) for side in ("lag", "lead")]
+    matched = laid.select("acq_id", "nom_mass", F.least(*gaps).alias("b")).filter(F.col("b.d") < tolerance)
+    best = held.join(matched.hint("merge"), ["acq_id", "nom_mass"]).groupBy("acq_id", "ch_idx").agg(F.min("b").alias("b"))
     return best.select("acq_id", "ch_idx", F.col("b.row_index").alias("row_index"), F.col("b.mass_amu").alias("mass_amu"))

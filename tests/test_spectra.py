@@ -171,6 +171,40 @@ def test_mass_match_takes_every_channel(spark):
     assert got == expected
 
 
+def most_rows(plan):
+    """The most rows that any step of a plan that has run put out."""
+    kind, own = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_mass_match_measures_no_pairs_of_a_whole_mass(spark):
+    """2,000 channels and 2,000 rows of one whole mass are 4 million pairs."""
+    n = 2000
+    channels = spark.range(n).selectExpr("0 AS acq_id", "int(id) AS ch_idx", f"55.2 + 0.6D * id / {n} AS nom_mass")
+    rows = spark.range(n).selectExpr("0 AS acq_id", "int(id) AS row_index", f"55.2 + 0.6D * (id + 0.25D) / {n} AS mass_amu")
+    out = S.match_mass_rows(channels, rows)
+    assert {r.ch_idx: r.row_index for r in out.collect()} == {k: k for k in range(n)}
+    assert n <= most_rows(out._jdf.queryExecution().executedPlan()) <= 6 * n
+
+
+@pytest.mark.parametrize(("tolerance", "step"), [(0.05, 0.05), (0.05, 0.0125), (0.7, 0.1), (3.0, 0.5), (0.0, 0.05)])
+def test_mass_match_equals_trying_every_pair(spark, tolerance, step):
+    """Masses on a grid, so that many are equal, equally near or just at the tolerance; missing and odd ones, several acquisitions, channels that are there twice."""
+    rng = np.random.default_rng(5)
+    odd = [None, 0.0, float("nan"), float("inf"), float("-inf")]
+    mass = lambda: odd[rng.integers(5)] if rng.random() < 0.05 else float(rng.integers(-400, 400) * step if rng.random() < 0.7 else rng.uniform(-200, 200) * step)
+    channels = [([0, 0, 1, 2, None][rng.integers(5)], [k, k // 3, None][rng.integers(3)], mass()) for k in range(500)]
+    rows = [([0, 0, 1, 3, None][rng.integers(5)], [k, k // 2][rng.integers(2)], mass()) for k in range(400)]
+    expected = {}
+    for acq, ch, nominal in channels:
+        near = [(abs(m - nominal), k, m) for a, k, m in rows if nominal and m and a == acq is not None and abs(m - nominal) < tolerance]
+        if near:
+            expected[acq, ch] = min([*near, expected.get((acq, ch), near[0])])
+    got = S.match_mass_rows(spark.createDataFrame(channels, "acq_id int, ch_idx int, nom_mass double"), spark.createDataFrame(rows, "acq_id int, row_index int, mass_amu double"), tolerance).collect()
+    assert len(got) == len(expected) and {(r.acq_id, r.ch_idx): (r.row_index, r.mass_amu) for r in got} == {k: v[1:] for k, v in expected.items()}
+
+
 @pytest.fixture(scope="module")
 def hourly(spark, tmp_path_factory):
     """An events table whose hourly counts are three peaks; the middle one of `faint` is seldom selected."""
